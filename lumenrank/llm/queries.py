@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lumenrank.llm.embeddings import op7_embeddings
+from lumenrank.llm.pii import op9_pii
 from lumenrank.llm.simhash import op3_simhash
+from lumenrank.llm.warc import op4_warc
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash,
+    "op4_warc": op4_warc,
+    "op7_embedding_near_dedup": op7_embeddings,
+    "op9_pii": op9_pii,
 }
 
 SQL: dict[str, str] = {}
