@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from lumenrank.llm.embeddings import op7_embeddings
+from lumenrank.llm.layout import op5_html
 from lumenrank.llm.pii import op9_pii
 from lumenrank.llm.simhash import op3_simhash
+from lumenrank.llm.substring import op6_substring
+from lumenrank.llm.tokens import op10_tokens
 from lumenrank.llm.warc import op4_warc
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_html_layout": op5_html,
+    "op6_substring_dedup": op6_substring,
     "op7_embedding_near_dedup": op7_embeddings,
     "op9_pii": op9_pii,
+    "op10_token_counts": op10_tokens,
 }
 
 SQL: dict[str, str] = {}
