@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenrank.llm.decontaminate import op1_decontaminate
 from lumenrank.llm.embeddings import op7_embeddings
 from lumenrank.llm.layout import op5_html
 from lumenrank.llm.pii import op9_pii
@@ -11,6 +12,7 @@ from lumenrank.llm.tokens import op10_tokens
 from lumenrank.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_simhash_near_dedup": op3_simhash,
     "op4_warc": op4_warc,
     "op5_html_layout": op5_html,
