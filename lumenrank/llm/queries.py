@@ -9,10 +9,12 @@ from lumenrank.llm.pii import op9_pii
 from lumenrank.llm.simhash import op3_simhash
 from lumenrank.llm.substring import op6_substring
 from lumenrank.llm.tokens import op10_tokens
+from lumenrank.llm.toxicity import op2_toxicity
 from lumenrank.llm.warc import op4_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash,
     "op4_warc": op4_warc,
     "op5_html_layout": op5_html,
