@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumenrank.llm.decontaminate import op1_decontaminate
 from lumenrank.llm.embeddings import op7_embeddings
 from lumenrank.llm.layout import op5_html
+from lumenrank.llm.mixing import op8_mixing
 from lumenrank.llm.pii import op9_pii
 from lumenrank.llm.simhash import op3_simhash
 from lumenrank.llm.substring import op6_substring
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_html_layout": op5_html,
     "op6_substring_dedup": op6_substring,
     "op7_embedding_near_dedup": op7_embeddings,
+    "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_tokens,
 }

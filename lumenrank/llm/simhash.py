@@ -162,6 +162,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(of_fp, F.col("fp") == F.col("k"), "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates: that of the least doc_id; all columns stay.
+
+    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id go if their group has an id, else they all stay.
+    """
+    groups = materialise(simhash_components(docs, id_col, text_col), "simhash-groups")
+    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    same = docs[f"`{id_col}`"].cast("long") == F.col("kept_id")
+    if kept.where("kept_rows > 1").isEmpty():
+        out = docs.join(kept, same, "left_semi")
+    else:
+        out = docs.join(kept.where("kept_rows = 1"), same, "left_semi").unionAll(docs.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
+    if not groups.where("doc_id is null and component_id is null").isEmpty():
+        out = out.unionAll(docs.where(docs[f"`{id_col}`"].isNull()))
+    return out
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
