@@ -1,0 +1 @@
+"""Column functions: plain expressions, no user-defined code, so all of them stay inside generated code."""
