@@ -53,6 +53,7 @@ def candidates(df: DataFrame, ratio: float = 0.75) -> DataFrame:
     bounds that leave a gap on both sides of the subject, where there are any.
     """
     w, h, s, facing = F.col("img_w"), F.col("img_h"), geo.box("s"), F.col("facing")
+    mode_is = lambda name: F.col("mode") == name
     now = w / h
     mode = F.when(F.abs(now - ratio) < SAME_RATIO, "none").when(now > ratio, "sides").otherwise("top_bottom")
     df = df.withColumn("mode", mode).withColumn("shot", geo.shot_type((F.col("s_w") * F.col("s_h")) / (w * h)))
@@ -73,14 +74,17 @@ def candidates(df: DataFrame, ratio: float = 0.75) -> DataFrame:
     at_x = [("front_preserve", F.col("front_free")), ("ideal", F.col("ideal_free")), ("safe", in_x(_safe(cx, cw, s.x, s.w))), ("center", F.greatest(F.lit(0), F.floor((w - cw) / 2)))]
     at_y = [("top_preserve", in_y(s.y - F.col("gap_px"))), ("ideal", in_y((cy - geo.ideal_y(F.col("shot")) * ch).cast("long"))), ("safe", in_y(_safe(cy, ch, s.y, s.h))), ("center", F.greatest(F.lit(0), F.floor((h - ch) / 2)))]
 
-    def scored(i: int, name: str, start: Column, across: bool) -> Column:
-        start = (keep(start) if across else start).cast("long")
-        x, y = (start, F.lit(0)) if across else (F.lit(0), start)
+    plain = lambda i, name, start: F.struct(F.lit(i).alias("pos"), F.lit(name).alias("name"), start.cast("long").alias("start"))
+    across = mode_is("sides")
+    tried = F.when(across, F.array(*(plain(i, n, keep(v)) for i, (n, v) in enumerate(at_x)))).when(mode_is("top_bottom"), F.array(*(plain(i, n, v) for i, (n, v) in enumerate(at_y))))
+    df = df.withColumn("tried", tried)
+
+    def scored(c: Column) -> Column:
+        x, y = F.when(across, c["start"]).otherwise(F.lit(0)), F.when(across, F.lit(0)).otherwise(c["start"])
         gap = F.least(_ratio(s.x - x, cw), _ratio(x + cw - s.x - s.w, cw))
-        return F.struct(F.lit(i).alias("pos"), F.lit(name).alias("name"), start.alias("start"), window_score(geo.Box(x, y, cw, ch), s, facing).alias("score"), gap.alias("gap"))
+        return F.struct(c["pos"].alias("pos"), c["name"].alias("name"), c["start"].alias("start"), window_score(geo.Box(x, y, cw, ch), s, facing).alias("score"), gap.alias("gap"))
 
-    found = F.when(F.col("mode") == "sides", F.array(*(scored(i, n, v, True) for i, (n, v) in enumerate(at_x)))).when(F.col("mode") == "top_bottom", F.array(*(scored(i, n, v, False) for i, (n, v) in enumerate(at_y))))
-    return df.withColumn("candidates", found)
+    return df.withColumn("candidates", F.transform("tried", scored)).drop("tried")
 
 
 def chosen(df: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -6,12 +6,14 @@ Each adapter comes twice, as a DataFrame and as SQL common table expressions, bo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenrank.functions import geometry as geo
 from lumenrank.functions import rasters as ras
 from lumenrank.functions import scoring
 from lumenrank.functions.replies import KEYS
+from lumenrank.sources.shared import materialise
 
 SIDE, SHARP_WIDTH, EDGE = 8, 1080.0, 100.0
 
@@ -30,6 +32,11 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mask", ras.mask(F.col("m_x"), F.col("m_y"), F.lit(4), F.lit(4), SIDE, SIDE))
 
 
+def technical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metrics() written once, as a technical cache: what ranks, cuts and sums reads numbers, not pictures."""
+    return materialise(metrics(spark, sf_dir), "technical")
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rasters() reduced to the seven metrics and their composite. Without a line detector the horizon counts as unknown."""
     df = rasters(spark, sf_dir)
@@ -66,7 +73,7 @@ def votes(df: DataFrame, item: str = "vec_id") -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, composite, model scores, final_score)."""
-    df = votes(metrics(spark, sf_dir).select("vec_id", "label", "composite"))
+    df = votes(technical(spark, sf_dir).select("vec_id", "label", "composite"))
     return df.withColumn("final_score", F.round(scoring.final_score(F.col("composite"), F.col("total"), F.col("crop_4x5"), F.col("scorer"), F.col("failed"), F.col("available")), 9))
 
 
@@ -77,8 +84,6 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = 640 + image % 5 * 320, 480 + image % 4 * 320
     ord_ = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     df = li.select(image.alias("image"), w.alias("img_w"), h.alias("img_h"), ord_.alias("key"), (F.col("l_partkey") * 13 % (w - 40)).alias("x"), (F.col("l_suppkey") * 7 % (h - 40)).alias("y"), (20 + F.col("l_quantity") * 11).cast("long").alias("w0"), (20 + F.col("l_quantity") * 7 + F.col("l_suppkey") % 200).cast("long").alias("h0"), F.element_at(F.array(*(F.lit(c) for c in (0, 3, 2, 16, 62))), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("cls_id"), F.round(1 - F.col("l_discount") * 5, 6).alias("conf"))
-    from pyspark.sql import Window as W
-
     df = df.withColumn("ord", F.row_number().over(W.partitionBy("image").orderBy("key")).cast("long"))
     return df.select("image", "img_w", "img_h", "ord", "x", "y", F.least("w0", F.col("img_w") - F.col("x")).alias("w"), F.least("h0", F.col("img_h") - F.col("y")).alias("h"), "cls_id", "conf")
 
