@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.numeric import array_mean, array_median, clamp, half_even_int
@@ -45,43 +45,46 @@ def json_body(text: Column) -> Column:
 def json_scores(text: Column) -> Column:
     """The fields of a JSON object as text (RAW), null if text holds no object. A bare list or number is no object."""
     body = json_body(F.coalesce(text, F.lit("")))
-    valid = F.try_parse_json(body) if hasattr(F, "try_parse_json") else F.from_json(body, "map<string, string>")
-    return F.when(valid.isNotNull() & body.startswith("{"), F.from_json(body, RAW))
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{RAW}>")  # in brackets nothing may follow the object
+    return F.when(body.startswith("{") & (F.size(one) == 1), F.get(one, F.lit(0)))
 
 
-def payload(raw: Column, fallback: Column) -> Column:
-    """Normalised scores (PAYLOAD) from fields as text.
+def with_payload(df: DataFrame, raw: str, fallback: str, out: str = "payload") -> DataFrame:
+    """df with normalised scores (PAYLOAD) from fields as text in column raw (RAW); null where raw is.
 
     Scores are whole, 0 to 10; a field that is there but no number counts 5. From three known ones their mean fills the
     rest, and their sum stands in for a total that is missing, or that is under 10 though the sum reaches 20. With fewer,
     unknown ones stay null and a missing total is 30.
     """
-    number = lambda k, default: F.when(raw[k].isNotNull(), F.coalesce(raw[k].try_cast("double"), F.lit(default)))
-    known = F.array(*(score(number(k, 5.0)) for k in KEYS))
-    some = F.filter(known, lambda v: v.isNotNull())
-    enough = F.size(some) >= 3
-    fill = F.when(enough, score(array_mean(some)))
-    full = [F.coalesce(F.get(known, F.lit(i)), fill) for i in range(len(KEYS))]
-    summed = F.when(enough, sum(full[1:], full[0]))
-    told = _total(number("total", 30.0))
-    total = F.when(enough & (told.isNull() | ((told < 10) & (summed >= 20))), summed).otherwise(F.coalesce(told, F.lit(30)))
-    return F.struct(*(v.cast("long").alias(k) for k, v in zip(KEYS, full, strict=True)), total.cast("long").alias("total"), one_line(raw["one_line"], fallback).alias("one_line"))
-
-
-def rubric_scores(text: Column) -> Column:
-    """Fields (RAW) of a rubric in plain text: "label: n/10", "label ... n/10", "label: n", "label ... n", in that order; null below three labels.
+    r = F.col(raw)
+    number = lambda k, default: F.when(r[k].isNotNull(), F.coalesce(r[k].try_cast("double"), F.lit(default)))
+    df = df.withColumns({"__known": F.array(*(score(number(k, 5.0)) for k in KEYS)), "__told": _total(number("total", 30.0))})
+    df = df.withColumn("__some", F.filter("__known", lambda v: v.isNotNull()))
+    df = df.withColumn("__fill", F.when(F.size("__some") >= 3, score(array_mean(F.col("__some")))))
+    df = df.withColumn("__full", F.transform("__known", lambda v: F.coalesce(v, F.col("__fill"))))
+    df = df.withColumn("__sum", F.when(F.col("__fill").isNotNull(), F.aggregate("__full", F.lit(0).cast("long"), lambda s, v: s + v)))
+    told, summed = F.col("__told"), F.col("__sum")
+    total = F.when(summed.isNotNull() & (told.isNull() | ((told < 10) & (summed >= 20))), summed).otherwise(F.coalesce(told, F.lit(30)))
+    fields = F.struct(*(F.get("__full", F.lit(i)).cast("long").alias(k) for i, k in enumerate(KEYS)), total.cast("long").alias("total"), one_line(r["one_line"], F.col(fallback)).alias("one_line"))
+    return df.withColumn(out, F.when(r.isNotNull(), fields)).drop("__known", "__told", "__some", "__fill", "__full", "__sum")
+
+
+def with_rubric(df: DataFrame, text: str, out: str = "raw") -> DataFrame:
+    """df with the fields (RAW) of a rubric in plain text: "label: n/10", "label ... n/10", "label: n", "label ... n", in that order; null below three labels.
 
     A label without a number of its own takes the next number within 48 characters, on the next line too.
     """
-    text = strip(F.coalesce(text, F.lit("")))
-    found = [score(F.coalesce(*(_found(text, f"(?is){LABELS[k]}{p}") for p in AFTER_LABEL)).cast("double")) for k in KEYS]
-    some = F.filter(F.array(*found), lambda v: v.isNotNull())
-    full = [F.coalesce(v, score(array_mean(some))) for v in found]
-    total = F.coalesce(_total(_found(text, rf"(?is)\btotal\s*[:=-]?\s*{NUMBER}").cast("double")), sum(full[1:], full[0]))
-    line = strip(F.regexp_extract(strip(F.regexp_extract(text, r"(?is)\bone[\s_-]*line\s*[:=-]\s*(.+)", 1)), r"^[^\r\n]*", 0))
-    line = F.when(line != "", line).otherwise(F.substring(first_sentence(text), 1, 180))
-    fields = F.struct(*(v.cast("string").alias(k) for k, v in zip(KEYS, full, strict=True)), total.cast("string").alias("total"), line.alias("one_line"))
-    return F.when(F.size(some) >= 3, fields)
+    df = df.withColumn("__text", strip(F.coalesce(F.col(text), F.lit(""))))
+    t = F.col("__text")
+    df = df.withColumn("__known", F.array(*(score(F.coalesce(*(_found(t, f"(?is){LABELS[k]}{p}") for p in AFTER_LABEL)).cast("double")) for k in KEYS)))
+    df = df.withColumn("__some", F.filter("__known", lambda v: v.isNotNull()))
+    df = df.withColumn("__fill", score(array_mean(F.col("__some"))))
+    df = df.withColumn("__full", F.transform("__known", lambda v: F.coalesce(v, F.col("__fill"))))
+    total = F.coalesce(_total(_found(t, rf"(?is)\btotal\s*[:=-]?\s*{NUMBER}").cast("double")), F.aggregate("__full", F.lit(0).cast("long"), lambda s, v: s + v))
+    line = strip(F.regexp_extract(strip(F.regexp_extract(t, r"(?is)\bone[\s_-]*line\s*[:=-]\s*(.+)", 1)), r"^[^\r\n]*", 0))
+    line = F.when(line != "", line).otherwise(F.substring(first_sentence(t), 1, 180))
+    fields = F.struct(*(F.get("__full", F.lit(i)).cast("string").alias(k) for i, k in enumerate(KEYS)), total.cast("string").alias("total"), line.alias("one_line"))
+    return df.withColumn(out, F.when(F.size("__some") >= 3, fields)).drop("__text", "__known", "__some", "__fill", "__full")
 
 
 def neutral_scores(text: Column) -> Column:
@@ -95,14 +98,16 @@ def neutral_scores(text: Column) -> Column:
     return F.when(text != "", fields)
 
 
-def parsed(content: Column, thinking: Column) -> tuple[Column, Column]:
-    """(payload, mode) by the first reading that succeeds: JSON, rubric, prose, each of content, then of thinking; null if none does."""
-    ways = [(f"{how}-{name}", read(text), text) for how, read in (("json", json_scores), ("plain", rubric_scores), ("neutral", neutral_scores)) for name, text in (("content", content), ("thinking", thinking))]
-    mode, out = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(None).cast(PAYLOAD))
-    for name, fields, text in ways:
-        mode = mode.when(fields.isNotNull(), name)
-        out = out.when(fields.isNotNull(), payload(fields, text))
-    return out, mode
+def with_parsed(df: DataFrame, content: str, thinking: str) -> DataFrame:
+    """df with payload and mode by the first reading that succeeds: JSON, rubric, prose, each of content, then of thinking; null if none does."""
+    names = {"content": content, "thinking": thinking}
+    for name, c in names.items():
+        df = with_rubric(df.withColumns({f"__json-{name}": json_scores(F.col(c)), f"__neutral-{name}": neutral_scores(F.col(c))}), c, f"__plain-{name}")
+    ways = [f"{how}-{name}" for how in ("json", "plain", "neutral") for name in names]
+    mode = F.coalesce(*(F.when(F.col(f"`__{w}`").isNotNull(), F.lit(w)) for w in ways))
+    df = df.withColumns({"mode": mode, "__fields": F.coalesce(*(F.col(f"`__{w}`") for w in ways))}).drop(*(f"__{w}" for w in ways))
+    df = df.withColumn("__said", strip(F.coalesce(F.when(F.col("mode").endswith("content"), F.col(content)).otherwise(F.col(thinking)), F.lit(""))))
+    return with_payload(df, "__fields", "__said").drop("__fields", "__said")
 
 
 def in_range(p: Column) -> Column:
