@@ -49,7 +49,8 @@ def band(x: Column, inner: tuple[float, float], outer: tuple[float, float], valu
 
 def array_mean(a: Column) -> Column:
     """Mean of an array, null if it is empty."""
-    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a).cast("double"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+    return F.aggregate(a, start, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["n"] + 1).alias("n")), lambda t: F.try_divide(t["s"], t["n"]))
 
 
 def array_median(a: Column) -> Column:

@@ -57,7 +57,9 @@ def total(a: Column) -> Column:
 
 def masked_mean(a: Column, m: Column) -> Column:
     """Mean of a where m is 1; an empty mask counts one pixel."""
-    return total(F.zip_with(a, m, lambda v, k: v * k)) / F.greatest(total(m), F.lit(1.0))
+    both = F.zip_with(a, m, lambda v, k: F.struct((v * k).alias("v"), k.alias("k")))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+    return F.aggregate(both, start, lambda t, p: F.struct((t["s"] + p["v"]).alias("s"), (t["n"] + p["k"]).alias("n")), lambda t: t["s"] / F.greatest(t["n"], F.lit(1.0)))
 
 
 def inverse(m: Column) -> Column:
@@ -65,9 +67,10 @@ def inverse(m: Column) -> Column:
 
 
 def variance(a: Column) -> Column:
-    """Population variance."""
-    mean = array_mean(a)
-    return array_mean(F.transform(a, lambda v: (v - mean) * (v - mean)))
+    """Population variance, in one pass over sums: pixel values are small whole numbers, so the sums are exact."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    step = lambda t, v: F.struct((t["n"] + 1).alias("n"), (t["s"] + v).alias("s"), (t["q"] + v * v).alias("q"))
+    return F.aggregate(a, start, step, lambda t: F.greatest(F.lit(0.0), F.try_divide(t["q"] - t["s"] * t["s"] / t["n"], t["n"])))
 
 
 def energy(lap: Column, m: Column) -> Column:

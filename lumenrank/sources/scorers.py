@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumenrank.functions.text import RETRYABLE
 
@@ -35,7 +36,7 @@ def replies(items: DataFrame, make_call: Callable[[], Call], retries: int = 2, b
             got = [with_retries(call, row, retries, base) for row in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [*b.schema.names, "reply", "error"])
 
-    return items.mapInArrow(run, items.schema.simpleString()[7:-1].replace(":", " ", 0) + ",reply:string,error:string")
+    return items.mapInArrow(run, StructType([*items.schema.fields, StructField("reply", StringType()), StructField("error", StringType())]))
 
 
 def replay(stored: dict[str, str]) -> Callable[[], Call]:

@@ -1,0 +1 @@
+"""Streams. An extension: sessions and leaders as shots come in."""
