@@ -40,7 +40,7 @@ def reports(spark: SparkSession, root: str) -> DataFrame:
 
 def report_input(spark: SparkSession, root: str) -> DataFrame:
     """(folder, input): the input folder that the first ten lines of a Markdown report name."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     head = F.array_join(F.slice(F.split("value", "\n"), 1, 10), "\n")
     return rows.select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"), F.nullif(F.regexp_extract(head, r"(?m)^- Input: `([^`]*)`", 1), F.lit("")).alias("input"))
 
