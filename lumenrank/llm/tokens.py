@@ -124,6 +124,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{folder}/files")
     listed.write.parquet(f"{folder}/manifest")
     files = spark.read.schema(listed.schema).parquet(f"{folder}/manifest")
+    # The list of files is small, what it unfolds to is not: Spark must not take it for a side to broadcast.
     ids = files.select("uri", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
     counts = stitch(scan_blocks(files))
-    return ids.select("uri", F.col("ordinal").cast("long").alias("ordinal"), "doc_id").join(counts, ["uri", "ordinal"], "left").select("doc_id", "n_tokens")
+    return ids.select("uri", F.col("ordinal").cast("long").alias("ordinal"), "doc_id").join(counts.hint("merge"), ["uri", "ordinal"], "left").select("doc_id", "n_tokens")
