@@ -18,6 +18,8 @@ LEVELS, JOBS = 5, 5
 #: A source's documents are dealt into 2**BITS blocks, and those into as many again.
 BITS = 10
 SEED = 17
+#: The plan has one row a source. Up to so many rows it is broadcast; beyond, documents are dealt by source and hot sources split by Spark.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass
@@ -154,7 +156,9 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
     if plan is None:
         used = rows.withColumns({"weight": F.lit(0.0), "epoch": F.lit(0)})
     else:
-        used = rows.join(plan, F.col("src") == F.col("s"), "left")
+        plan = materialise(plan, "mix-ends")
+        small = plan.count() <= BROADCAST_SOURCES
+        used = rows.join(F.broadcast(plan) if small else plan, F.col("src") == F.col("s"), "left")
         passes = F.coalesce("full", F.lit(1)) + F.when((F.col("n_tokens") > 0) & (_place(F.col("full")) <= F.col("end")), 1).otherwise(0)
         used = used.withColumn("passes", passes).where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     kept = [F.col("row").getField(c).alias(c) for c in (columns or docs.columns) if c not in _ADDED]
