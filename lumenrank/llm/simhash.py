@@ -169,7 +169,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     groups = materialise(simhash_components(docs, id_col, text_col), "simhash-groups")
     kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    same = docs[f"`{id_col}`"].cast("long") == F.col("kept_id")
+    same = docs[f"`{id_col}`"].cast("long") == kept["kept_id"]
     if kept.where("kept_rows > 1").isEmpty():
         out = docs.join(kept, same, "left_semi")
     else:
