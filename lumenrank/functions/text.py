@@ -33,12 +33,13 @@ def first_sentence(x: Column) -> Column:
 
 def one_line(raw: Column, fallback: Column) -> Column:
     """A caption: raw, or the first sentence of the fallback, on one line, without back-ticks and one quote at either end, cut at 220."""
-    raw, first = strip(F.coalesce(raw, F.lit(""))), first_sentence(F.coalesce(fallback, F.lit("")))
-    line = F.when(raw != "", raw).when(first != "", first).otherwise(DEFAULT_LINE)
+    empty = F.lit("")
+    line = F.coalesce(F.nullif(strip(F.coalesce(raw, empty)), empty), F.nullif(first_sentence(F.coalesce(fallback, empty)), empty), F.lit(DEFAULT_LINE))
     line = F.regexp_replace(strip(F.regexp_replace(line, r"\s+", " ")), r"^`+|`+$", "")
-    line = F.when(line.rlike(r"^['\"]"), strip(F.substring(line, 2, 1 << 20))).otherwise(line)
-    line = F.when(line.rlike(r"['\"]$"), strip(F.regexp_replace(line, r"['\"]$", ""))).otherwise(line)
-    return F.when(line != "", F.substring(line, 1, 220)).otherwise(DEFAULT_LINE)
+    # Each step names the one before once, so the expression stays small.
+    line = F.regexp_replace(line, r"(?s)^['\"]\s*(.*?)\s*$", "$1")
+    line = F.regexp_replace(line, r"(?s)^\s*(.*?)\s*['\"]$", "$1")
+    return F.coalesce(F.nullif(F.substring(line, 1, 220), empty), F.lit(DEFAULT_LINE))
 
 
 def context(prompt: Column) -> Column:
