@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -153,21 +153,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle. Repeated rows each come back; a null doc_id never becomes a component_id unless its group has no other.
     Other columns of docs are not read. An empty table gives no rows.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col), "simhash-fps")
+    return components_of(materialise(fingerprints(docs, id_col, text_col), "simhash-fps"), near_links)
+
+
+def components_of(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of fps (doc_id, fp), a table; links gives (a, b) among its distinct fp."""
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    comps = connected_components(near_links(reps), "simhash-cc")
+    comps = connected_components(links(reps), "simhash-cc")
     full = materialise(reps.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp")), "simhash-comps")
     least = full.groupBy("comp").agg(F.min("rep").alias("component_id")).select((F.col("comp") + F.lit(0)).alias("k"), "component_id")
     of_fp = materialise(full.join(least, F.col("comp") == F.col("k")).select(F.col("fp").alias("k"), "component_id"), "simhash-ids")
     return fps.join(of_fp, F.col("fp") == F.col("k"), "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates: that of the least doc_id; all columns stay.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[..., DataFrame] = simhash_components) -> DataFrame:
+    """docs with one document of each group of near-duplicates, as components finds them: that of the least doc_id; all columns stay.
 
     Of rows that repeat a kept doc_id one stays. Rows with a null doc_id go if their group has an id, else they all stay.
     """
-    groups = materialise(simhash_components(docs, id_col, text_col), "simhash-groups")
+    groups = materialise(components(docs, id_col, text_col), "simhash-groups")
     kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
     same = docs[f"`{id_col}`"].cast("long") == kept["kept_id"]
     if kept.where("kept_rows > 1").isEmpty():
