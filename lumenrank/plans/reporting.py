@@ -50,7 +50,7 @@ def gallery_rows(spark, d):
     """Documents with what is known of them elsewhere: a label and the first turn of a conversation, by id."""
     doc = ad.table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("out/"), F.col("lang"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file"))
     lab = ad.table(spark, d, "labels").select(F.col("doc_id").alias("l_id"), "quality", "toxic")
-    turn = ad.table(spark, d, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 40).alias("caption"))
+    turn = ad.table(spark, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("caption"))
     both = doc.join(lab, F.col("doc_id") == F.col("l_id"), "left").join(turn, F.col("doc_id") == F.col("conv_id"), "left")
     return both.select("doc_id", text.quoted(F.col("file")).alias("href"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce(text.markdown_cell(F.col("caption")), F.lit("")).alias("caption"), F.array_join(F.filter(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")), lambda b: b.isNotNull()), ",").alias("badges"))
 
