@@ -1,6 +1,12 @@
 """Queries over whole texts and all rows, against plain code."""
 
-from lumenrank.plans import reporting
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumenrank.operators import dedup
+from lumenrank.plans import grouping, reporting
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_gallery_rows_keep_whole_captions(spark, tmp_path):
@@ -10,3 +16,18 @@ def test_gallery_rows_keep_whole_captions(spark, tmp_path):
     spark.createDataFrame([(1, 0, long), (1, 1, "later"), (2, 0, "short")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.doc_id: r.caption for r in reporting.gallery_rows(spark, str(tmp_path)).collect()}
     assert got == {1: long.replace("|", "\\|").replace("\n", " "), 2: "short", 3: ""}
+
+
+def test_correlation_of_all_rows(spark, tmp_path, monkeypatch):
+    """Sparse ids, several parts, a constant vector, one of another length and a null."""
+    monkeypatch.setattr(dedup, "PART", 60)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select((F.col("vec_id") * 1000).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).orderBy("vec_id").limit(300)
+    vectors = {r.vec_id: r.embedding for r in e.collect()}
+    odd = spark.createDataFrame([(-3, [0.5] * 64), (-2, [1.0, 2.0]), (-1, None)], "vec_id long, embedding array<double>")
+    e.unionAll(odd).write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids = np.array(sorted(vectors))
+    r = np.corrcoef([vectors[i] for i in ids]).round(6)
+    want = {(ids[i], ids[j], r[i, j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if r[i, j] >= grouping.MIN_R}
+    got = [tuple(x) for x in grouping.vector_correlation_pairs(spark, str(tmp_path)).select("a", "b", "r").collect()]
+    assert len(got) == len(want) > 1000
+    assert set(got) == want
