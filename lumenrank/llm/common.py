@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS
-    return root.rstrip("/")
+from lumenrank.sources.shared import materialise, remove, shared_path
 
+__all__ = ["connected_components", "materialise", "remove", "shared_path", "split_by_sketch"]
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/lumenrank-{tag}-{uuid.uuid4().hex}"
+#: Longs of a sketch for each key in it, and in all at most: what is broadcast never exceeds 16 bytes a long.
+SKETCH_SHARE, SKETCH_MOST = 0.25, 1 << 20
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def split_by_sketch(df: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be in keys, all others). keys has one column h, of long hashes such as hashed; nulls are in neither.
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path below the shared folder, if it is there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    The sketch is a bitmap of pmod(hash, its bits), sized by the number of keys, 16 bits each, up to SKETCH_MOST longs.
+    It only says which rows cannot match, so a join of the first part with keys loses nothing; beyond that size it rules
+    out fewer rows and is still right.
+    """
+    longs = int(max(1, min(SKETCH_MOST, keys.count() * SKETCH_SHARE)))
+    place = lambda h: F.pmod(h, F.lit(64 * longs))
+    slot, bit = F.expr("p div 64"), F.expr("shiftleft(1L, cast(p % 64 as int))")
+    bits = keys.select(place(F.col("h")).alias("p")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    marked = df.withColumn("p", place(hashed)).join(F.broadcast(bits), slot == F.col("slot"), "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.where(x).drop("p", "slot", "bits") for x in (hit, ~hit))
 
 
 def _star_min(edges: DataFrame) -> DataFrame:

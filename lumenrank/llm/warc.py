@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrank.llm.common import shared_path
+from lumenrank.llm.common import materialise, shared_path, split_by_sketch
 
 #: An archive is closed once it holds so many bytes; the reader's memory does not depend on it.
 ARCHIVE_BYTES = 256 << 20
@@ -72,35 +73,64 @@ def members(source, size: int = READ_BYTES) -> Iterator[bytes]:
 
 
 def _headers(data: bytes, at: int) -> tuple[str, dict[str, str], int]:
-    """(first line, headers in lower case, where the block starts)."""
+    """(first line, headers in lower case, where the block starts); a line that starts with white space goes on with the one before."""
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise FormatError("headers do not end")
-    first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")
     pairs = (x.partition(":") for x in lines)
     return first, {k.strip().lower(): v.strip() for k, _, v in pairs}, end + 4
 
 
-def _page(urn: str) -> int | None:
-    s = urn.strip("<>").removeprefix(_ID)
-    return int(s) if s else None
+def _page(urn: str | None) -> int | None:
+    """The number in a record id of ours; ids of other kinds have none."""
+    s = (urn or "").strip("<>").removeprefix(_ID)
+    return int(s) if re.fullmatch(r"-?[0-9]{1,18}", s) else None
+
+
+def _check(what: str, said: str | None, data: bytes) -> None:
+    """Compare data with a digest in a header, algorithm:value in base32 or hexadecimal; none and unknown algorithms say nothing."""
+    name, _, value = (said or "").partition(":")
+    if name.lower() in ("sha1", "sha256", "md5") and value:
+        d = hashlib.new(name.lower(), data).digest()
+        if value.upper().rstrip("=") not in (base64.b32encode(d).decode().rstrip("="), d.hex().upper()):
+            raise FormatError(f"{what} digest")
 
 
 def parse(data: bytes) -> dict:
-    """One record: framed by its content length, with block and payload digests verified."""
+    """One record of any type: framed by its content length, block and payload digests verified where it has them.
+
+    The payload is what follows the HTTP headers of a block that has some, else the block; transfer codings are left as
+    they are. payload is null for revisits, whose payload_bytes come from the HTTP headers (null without). payload_digest
+    is the value in the header, for a payload without one its SHA-1. page_id and refers_to are null if ids are not ours.
+    """
     first, head, at = _headers(data, 0)
-    n = int(head["content-length"])
+    size = head.get("content-length", "")
+    if not first.startswith("WARC/") or not size.isascii() or not size.isdigit():
+        raise FormatError("not a record")
+    n = int(size)
     block = data[at : at + n]
-    if not first.startswith("WARC/") or len(block) != n or data[at + n :] != b"\r\n\r\n":
+    if len(block) != n or data[at + n :] != b"\r\n\r\n":
         raise FormatError("the record is not as long as it says")
-    if f"sha1:{digest(block)}" != head["warc-block-digest"]:
-        raise FormatError("block digest")
-    _, http, start = _headers(block, 0)
-    payload = block[start:]
-    if head["warc-type"] == "response" and (f"sha1:{digest(payload)}" != head["warc-payload-digest"] or len(payload) != int(http["content-length"])):
-        raise FormatError("payload digest")
-    refers = head.get("warc-refers-to")
-    return {"page_id": _page(head["warc-record-id"]), "url": head["warc-target-uri"], "payload": payload if head["warc-type"] == "response" else None, "payload_bytes": int(http["content-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "record_type": head["warc-type"], "refers_to": None if refers is None else _page(refers)}
+    _check("block", head.get("warc-block-digest"), block)
+    kind, payload, said = head.get("warc-type", "").lower(), block, None
+    if head.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        _, http, start = _headers(block if b"\r\n\r\n" in block else block + b"\r\n\r\n", 0)
+        payload, said = block[start:], http.get("content-length")
+    said = int(said) if said and said.isascii() and said.isdigit() else None
+    full, payload_digest = kind != "revisit", head.get("warc-payload-digest")
+    if full and "warc-segment-number" not in head and "warc-truncated" not in head:
+        _check("payload", payload_digest, payload)
+    return {
+        "page_id": _page(head.get("warc-record-id")),
+        "url": head.get("warc-target-uri"),
+        "payload": payload if full else None,
+        "payload_bytes": len(payload) if full else said,
+        "payload_digest": payload_digest.partition(":")[2] if payload_digest else digest(payload) if full else None,
+        "record_type": kind,
+        "refers_to": _page(head.get("warc-refers-to")),
+        "record_id": head.get("warc-record-id", "").strip("<>"),
+    }
 
 
 def read_archive(uri: str) -> Iterator[dict]:
@@ -113,14 +143,19 @@ def read_archive(uri: str) -> Iterator[dict]:
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): payload is html in UTF-8, null as empty; refers_to is null for responses.
 
-    Of equal payloads of min_revisit_bytes and more, rows with the least page_id are responses. The least ids are
-    aggregated before anything moves; the join deals both sides by digest, so a hot payload can be split.
+    Of equal payloads of min_revisit_bytes and more, rows with the least page_id are responses. Only digests and ids are
+    aggregated; of the payloads those move whose digest a sketch does not rule out as repeated, the others are written
+    where they are read. The join deals both sides by digest, so a hot payload can be split. Null ids are responses;
+    other columns are not read; repeated rows each come back; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("len", F.octet_length("html").cast("long"))
-    first = rows.groupBy("sha", "len").agg(F.min("page_id").alias("least")).select(F.concat("sha").alias("s"), (F.col("len") + 0).alias("n"), "least")
-    both = rows.join(first, (F.col("sha") == F.col("s")) & (F.col("len") == F.col("n")), "left")
-    return both.select("page_id", "url", F.col("html").cast("binary").alias("payload"), F.when((F.col("page_id") > F.col("least")) & (F.col("len") >= min_revisit_bytes), F.col("least")).alias("refers_to"))
+    of = rows.where(F.col("len") >= min_revisit_bytes).groupBy("sha", "len").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).where("least < most")
+    of = materialise(of.select(F.concat("sha").alias("s"), (F.col("len") + 0).alias("n"), "least"), "warc-repeated")
+    out = lambda df, refers: df.select("page_id", "url", F.col("html").cast("binary").alias("payload"), refers.alias("refers_to"))
+    some, others = split_by_sketch(rows, F.xxhash64("sha"), of.select(F.xxhash64("s").alias("h")))
+    both = some.join(of, (F.col("sha") == F.col("s")) & (F.col("len") == F.col("n")), "left")
+    return out(both, F.when(F.col("page_id") > F.col("least"), F.col("least"))).unionAll(out(others, F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -128,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
 
     Each task writes archives of its own under names that no other attempt uses; only those of the attempt that Spark
     keeps are in the manifest, so lost executors and repeated tasks leave no record twice. Null urls become about:blank, a null page_id an
-    id without number. The manifest must be written or cached once: evaluating it anew writes anew.
+    id without number; an empty table writes no archive. The manifest must be written or cached once: evaluating it anew writes anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +192,19 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     return with_revisits(pages, min_revisit_bytes).mapInArrow(run, "uri string, records long, bytes long")
 
 
-_RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
+#: Tasks that read, at most; each reads its archives one after another.
+MAX_TASKS = 100_000
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives that manifest (uri, records) lists, each read sequentially; a missing record is an error. payloads=False leaves payload null after it is verified."""
+    """The records of the archives that manifest (uri, records) lists, of any origin and all types, each archive read sequentially.
+
+    records may be null; if given, a missing record is an error. payloads=False leaves payload null after it is verified.
+    An empty manifest gives no rows. An archive has a task of its own: the number of tasks is given, so Spark doesn't fold
+    the short list into one.
+    """
+    tasks = min(max(1, manifest.count()), MAX_TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.strip().split()[0] for x in _RECORD.split(",")]
@@ -177,17 +220,16 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     if size >= 8 << 20:
                         yield _batch(held, names)
                         held, size = [], 0
-                if seen != expected:
+                if expected is not None and seen != expected:
                     raise FormatError(f"{uri} has {seen} records, not {expected}")
                 if held:
                     yield _batch(held, names)
 
-    # One archive a task: the list is short, the work is long.
-    return manifest.select("uri", "records").repartition("uri").mapInArrow(run, _RECORD)
+    return manifest.select("uri", F.col("records").cast("long")).repartition(tasks).mapInArrow(run, _RECORD)
 
 
 def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, kinds, strict=True)], names)
 
 
