@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,8 +23,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 DTYPE = "<u2"
-#: Tokens in a file at most (a document more), and in a block of the scan.
-FILE_TOKENS, BLOCK_TOKENS = 64 << 20, 1 << 20
+#: Tokens in a file at most (a document more), documents in a file, and tokens in a block of the scan.
+FILE_TOKENS, FILE_DOCS, BLOCK_TOKENS = 64 << 20, 1 << 20, 1 << 20
+#: Blocks that one task scans at most.
+TASK_BLOCKS = 64
+#: White space as PATTERN knows it, in runs too long for its look-ahead, which needs stack for every character.
+_LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def encoder(ranks: bytes) -> tiktoken.Encoding:
@@ -32,12 +37,26 @@ def encoder(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def token_ids(enc: tiktoken.Encoding, text: str | None) -> Iterator[list[int]]:
+    """The ids of a text, piece by piece: those that the pattern gives, found without it for long runs of white space.
+
+    Of a run that ends the text the pattern makes one piece; of any other the last character begins what follows.
+    """
+    text, at = text or "", 0
+    for m in _LONG_WHITE.finditer(text):
+        yield enc.encode_ordinary(text[at : m.start()])
+        at = m.end() - (m.end() < len(text))
+        yield enc._encode_single_piece(text[m.start() : at])
+    yield enc.encode_ordinary(text[at:])
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int = END, dtype: str = DTYPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise every row of docs into flat files; returns (uri, tokens, doc_ids in order).
 
-    A file is ids of dtype, each document followed by end: no header, no index. Null texts are empty documents. Files
-    bear names that no other task attempt uses, so only those that the returned rows list count. The vocabulary goes
-    to the executors by broadcast (its file is of fixed size).
+    A file is ids of dtype, each document followed by end: no header, no index. Null texts are empty documents; repeated
+    rows and null ids are documents like any other; an empty table gives no files; other columns are not read. A text
+    may be of any length: it is written piece by piece. Files bear names that no other task attempt uses, so only those
+    that the returned rows list count. The vocabulary goes to the executors by broadcast (its file is of fixed size).
     """
     with open(tokenizer, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -45,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        encode, kind = encoder(ranks.value).encode_ordinary, np.dtype(dtype)
+        enc, kind = encoder(ranks.value), np.dtype(dtype)
         out, name, size, ids = None, "", 0, []
 
         def closed() -> pa.RecordBatch:
@@ -57,12 +76,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
                 if out is None:
                     name = f"{uuid.uuid4().hex}.tokens"
                     out, size, ids = fs.open_output_stream(posixpath.join(root, name), compression=None), 0, []
-                tokens = encode(text) if text else []
-                tokens.append(end)
-                out.write(np.array(tokens, kind).tobytes())
-                size += len(tokens)
+                for tokens in token_ids(enc, text):
+                    out.write(np.array(tokens, kind).tobytes())
+                    size += len(tokens)
+                out.write(np.array([end], kind).tobytes())
+                size += 1
                 ids.append(doc_id)
-                if size >= FILE_TOKENS:
+                if size >= FILE_TOKENS or len(ids) >= FILE_DOCS:
                     yield closed()
                     out = None
         if out is not None:
@@ -72,7 +92,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
 
 
 def scan_blocks(files: DataFrame, end: int = END, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(uri, block, size, ends): for each block of each file of files (uri, tokens) the places, counted from the start of the file, that hold end."""
+    """(uri, block, size, ends): for each block of each file of files (uri, tokens) the places, counted from the start of the file, that hold end.
+
+    Files without tokens have no blocks. Blocks are dealt to as many tasks as the session runs at once, more if a task
+    would get over TASK_BLOCKS; the number is given, so Spark doesn't fold the short list into one task.
+    """
+    spark = files.sparkSession
+    n_blocks = files.where("tokens > 0").agg(F.sum(F.expr(f"(tokens - 1) div {block_tokens} + 1"))).first()[0] or 1
+    tasks = max(min(n_blocks, spark.sparkContext.defaultParallelism), -(-n_blocks // TASK_BLOCKS))
     blocks = files.select("uri", F.col("tokens").cast("long").alias("tokens")).where("tokens > 0").select("uri", "tokens", F.explode(F.expr(f"sequence(0L, (tokens - 1) div {block_tokens})")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +118,7 @@ def scan_blocks(files: DataFrame, end: int = END, dtype: str = DTYPE, block_toke
                 ends = np.flatnonzero(ids == end).astype(np.int64) + first
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["uri", "block", "size", "ends"])
 
-    return blocks.repartition("uri", "block").mapInArrow(run, "uri string, block long, size long, ends array<long>")
+    return blocks.repartition(int(tasks)).mapInArrow(run, "uri string, block long, size long, ends array<long>")
 
 
 def stitch(blocks: DataFrame) -> DataFrame:

@@ -63,3 +63,32 @@ def test_query(spark):
     enc = tk.encoder(open(tk.TOKENIZER, "rb").read())
     want = {r.doc_id: len(enc.encode_ordinary(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in tk.op10_tokens(spark, sf).collect()} == want
+
+
+def test_long_white_space(monkeypatch):
+    """Runs that the pattern's look-ahead can't pass, and the plain encoder's ids wherever it can."""
+    enc = tk.encoder(open(tk.TOKENIZER, "rb").read())
+    ids = lambda t: [i for part in tk.token_ids(enc, t) for i in part]
+    for run in (" " * 10_000_000, "\n" * 2_000_000):
+        assert enc.decode(ids("a" + run + "x")) == "a" + run + "x"
+        assert enc.decode(ids(run)) == run
+    assert enc.decode(ids("b" * 2_000_000)) == "b" * 2_000_000
+    rng = random.Random(3)
+    monkeypatch.setattr(tk, "_LONG_WHITE", tk.re.compile(tk._LONG_WHITE.pattern.replace("1000", "3")))
+    for _ in range(500):
+        t = "".join(rng.choice(["a", "é", "7", "!", " ", "  ", "   ", "\n", "\n\n\n", "\t", "\u00a0", "\u2003\u2003\u2003", "\x1c\x1c\x1c", "'s", "\x85"]) for _ in range(rng.randrange(12)))
+        assert ids(t) == enc.encode_ordinary(t), repr(t)
+
+
+def test_many_tasks(spark, tmp_path):
+    """A hundred files and their blocks are read by more than one task."""
+    np.array([1, 9] * 30, "<u2").tofile(tmp_path / "a")
+    df = spark.createDataFrame([(f"file://{tmp_path}/a", 60)] * 100, "uri string, tokens long").coalesce(1)
+    blocks = tk.scan_blocks(df, 9, block_tokens=10)
+    assert blocks.count() == 600
+    assert blocks.select(tk.F.spark_partition_id()).distinct().count() > 1
+
+
+def test_empty_table(spark, docs_of, tmp_path):
+    listed = tk.write_token_files(docs_of([]), f"file://{tmp_path}/t")
+    assert tk.stitch(tk.scan_blocks(listed)).count() == 0
