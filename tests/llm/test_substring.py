@@ -33,7 +33,7 @@ def got(docs, **kw):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_mixtures(spark, docs_of, seed):
+def test_random_mixtures(spark, docs_of, seed, monkeypatch):
     """Documents glued from shared passages of all lengths around the threshold, in all orders, with edits and copies."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcde") for _ in range(2))
@@ -50,6 +50,26 @@ def test_random_mixtures(spark, docs_of, seed):
     rows = list(dict(rows).items())
     rows += [(2 * 10**6 + i, rows[i % 3][1]) for i in range(6)]
     assert got(docs_of(rows)) == plain(rows)
+    if not seed:
+        monkeypatch.setattr(sb, "PAIRWISE", 1)  # each surrounding extended to every window's length
+        assert got(docs_of(rows)) == plain(rows)
+
+
+def test_matches_are_extended_both_ways(spark, docs_of):
+    """From the anchor as far as words go, to the right and to the left, and from one anchor's words to the next's."""
+    w = sb.np.arange(200, dtype=sb.np.uint64)
+    other = w.copy()
+    other[[20, 90]] = 999
+    assert list(sb.extended([w, other[10:]], [60, 50], [1, 2], 50)) == [(1, 11, 69)]
+    assert list(sb.extended([w, other[10:]], [60, 50], [2, 2], 50)) == []
+    rng = random.Random(3)
+    some = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    p, q = some(400), some(70)
+    rows = [(1, some(30) + p + some(5)), (2, q + some(9)), (5, some(12) + p[3:390] + some(2) + q + some(60)), (6, some(60) + p[:49])]
+    docs = docs_of([(i, " ".join(t)) for i, t in rows])
+    assert sorted(tuple(r) for r in sb.maximal_repeats(docs).collect()) == [(5, 12, 387), (5, 12 + 387 + 2, 70)]
+    runs = sb.anchored_runs(sb.Hasher().words([x.encode() for x in rows[2][1]]))
+    assert max(runs[3]) + 49 < 387  # no run is as long as the match
 
 
 def test_edge_cases(spark, docs_of):
