@@ -1,4 +1,9 @@
-"""Toxicity by compression distance: windows of text under a zstandard dictionary of toxic and one of ordinary text."""
+"""Toxicity by compression distance: windows of text under a zstandard dictionary of ordinary text alone, and with one of toxic text behind it.
+
+Departure from the plainest form: two dictionaries trained on whole windows of their classes and compared with each other
+mostly tell apart which ordinary words each happens to hold (the README has figures), so the toxic one is trained on what
+toxic windows have beyond ordinary ones, and both sides of the comparison know the same ordinary text.
+"""
 
 from __future__ import annotations
 
@@ -36,9 +41,18 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
-    """Whole words of the lower-case text in windows of size bytes or a little more."""
+    """Whole words of the lower-case text in windows of size bytes or a little more; words longer than size are cut between characters, so no window has 2 * size bytes and more."""
     out, held, n = [], [], 0
     for w in (text or "").lower().encode("utf-8", "replace").split():
+        while len(w) > size:
+            cut = size
+            while w[cut] & 0xC0 == 0x80:
+                cut -= 1
+            if held:
+                out.append(b" ".join(held) + b" ")
+                held, n = [], 0
+            out.append(w[:cut])
+            w = w[cut:]
         held.append(w)
         n += len(w) + 1
         if n >= size:
@@ -127,6 +141,8 @@ class Model:
 
     ordinary: bytes = b""
     toxic: bytes = b""
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
@@ -157,6 +173,7 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.rate)
+        x = np.clip(x, self.low, self.high)  # texts far longer than any in the sample count as its longest
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -165,6 +182,7 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     """Ridge logistic regression of the labels on the features, which sets the threshold on window gains at a score of 0.5."""
     if len(set(y.tolist())) < 2:
         return
+    model.low, model.high = x.min(axis=0), x.max(axis=0)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     w = np.zeros(z.shape[1])
@@ -184,8 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Dictionaries and weights from a bounded sample of the labelled rows that are not held out.
 
     The sample: at most TRAIN_DOCS documents a class, cut to TOXIC_WINDOWS and ORDINARY_WINDOWS windows, and
-    CALIBRATION_DOCS others, each the first in the order of a hash of the id, so any run draws the same. Of several
-    labels of a document the greatest counts; null labels and labels without a document are left out.
+    CALIBRATION_DOCS others, each the first in the order of a hash of the id, so any run draws the same. Whole texts of the
+    drawn documents are cut into windows; of a stretch that toxic windows have beyond ordinary ones the first PIECE_BYTES
+    train the toxic dictionary, PIECE_REPEATS times at most. Of several labels of a document the greatest counts; null
+    labels and labels without a document are left out. Too few labels give a model without dictionaries.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id", F.lit(1)))
@@ -198,8 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column(0).to_pylist():
-                w = [x[: 4 * TRAIN_BYTES] for x in windows(text, TRAIN_BYTES)]
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary())], ["w"])
+                yield pa.RecordBatch.from_arrays([pa.array(windows(text, TRAIN_BYTES), pa.binary())], ["w"])
 
     def drawn_windows(toxic: int, most: int) -> list[bytes]:
         w = sample.where(f"role = {toxic}").select("text").mapInArrow(cut, "w binary").distinct()
@@ -224,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs; every window of every text is compared.
+    """(doc_id, held_out, score, predicted) for every row of docs; every window of every text, of any length, is compared.
 
     score only depends on the text; null and empty texts have no windows and get the score of a text that gains
     nothing. Repeated rows each come back; a null doc_id is not held out. Where the sample lacks a class, every score
@@ -243,7 +262,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns stay, nothing moves between tasks."""
+    """docs without the rows that score 0.5 or more; all columns stay, whatever their names, and nothing moves between tasks.
+
+    The decision is on the text alone: repeated rows go or stay together, null and empty texts score as texts that gain
+    nothing. Where the sample lacks a class all stay or go with the share of toxic labels. An empty table gives no rows.
+    """
     model, at = fit(docs, labels, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
