@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order of kinds in every list of spans; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "name")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "name", "secret")
 BASE = KINDS[:4]
 LABELERS = ("regex", "gazetteer", "context", "structure")
 
@@ -26,8 +26,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-# Candidates beyond the base kinds: written-out addresses, national numbers, account and identity numbers, titled names.
-_WRITTEN = re.compile(r"(?i)\b[a-z0-9._%+-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[a-z0-9-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[a-z0-9-]{2,63}){1,4}\b")
+# Candidates beyond the base kinds: written-out addresses, national numbers, account and identity numbers, titled names, keys and passwords.
+_DOT = r"(?: dot |\s?[\[(]dot[\])]\s?)"
+_WRITTEN = re.compile(rf"(?i)\b[a-z0-9._%+-]{{1,64}}(?:\s?[\[(]at[\])]\s?[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{2,63}}){{1,4}}| at [a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{2,63}}){{1,4}})\b")
 _WRITTEN_HINTS = (" dot ", "[at]", "(at)", "[dot]", "(dot)")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _LONG = re.compile(r"(?<![0-9])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{3,5}(?![0-9])")
@@ -35,21 +36,36 @@ _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 _NAME = re.compile(rf"\b(?:{'|'.join(_TITLES)})\.? [A-Z][\w'-]{{1,30}}(?: [A-Z][\w'-]{{1,30}})?")
+#: The value that a key word is set to, or a long run of letters and digits that stands alone.
+_KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "auth", "bearer", "passwort", "contraseña", "clave")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z0-9_/+=-]*[0-9])(?=[A-Za-z0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{12,512}(?![A-Za-z0-9_/+=-])")
+_ISSUED = re.compile(r"AKIA[0-9A-Z]{16}\Z|gh[pousr]_|xox[abprs]-|sk-|sk_live_|AIza|eyJ")
+_SET = re.compile(rf"(?i)(?:{'|'.join(_KEY_WORDS)})[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?\Z")
 
 # Fixed values of the labelers.
-TLDS = frozenset("com org net edu gov mil int io co us uk de fr es it nl eu info biz dev app ch at be se no pl pt ru jp cn in br ca au".split())
-CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 98".split())
-GIVEN_NAMES = frozenset("james john robert michael william david mary patricia jennifer linda elizabeth anna maria peter paul thomas hans karl pierre jean luc marie jose juan carlos ana sofia laura julia lucas emma".split())
+TLDS = frozenset("com org net edu gov mil int info biz name pro app dev xyz online site shop cloud example test".split())
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+IBAN_LENGTHS = {"AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+GIVEN_NAMES = frozenset(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark paul steven andrew kevin brian george edward "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda anna emma "
+    "hans karl peter klaus jürgen wolfgang dieter uwe stefan andreas markus ursula monika petra sabine heike julia katharina lena "
+    "pierre jean luc michel jacques philippe nicolas françois marie nathalie isabelle sylvie catherine camille "
+    "josé juan carlos antonio manuel francisco luis miguel javier pedro maría carmen ana isabel laura sofía lucía marta elena".split()
+)
+#: Words that announce a kind, whole words within CONTEXT_CHARS before a span.
 CONTEXT = {
-    "email": ("mail", "contact", "write to", "@"),
-    "ip": ("ip", "host", "server", "address", "from"),
-    "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "whatsapp"),
-    "iban": ("iban", "account", "bank", "konto", "compte"),
-    "ssn": ("ssn", "social", "security", "tax id"),
-    "name": ("name", "signed", "dear", "contact", "by "),
+    "email": frozenset("mail email e-mail contact contacto kontakt write address adresse correo courriel reach".split()),
+    "ip": frozenset("ip ipv4 host server address from client login logged serveur servidor".split()),
+    "card": frozenset("card visa mastercard amex credit debit payment karte kreditkarte carte tarjeta".split()),
+    "phone": frozenset("phone call tel telephone mobile cell fax whatsapp telefon handy téléphone teléfono móvil".split()),
+    "iban": frozenset("iban account bank konto bankverbindung compte cuenta transfer".split()),
+    "ssn": frozenset("ssn social security tax steuer identification".split()),
+    "name": frozenset("name named signed dear contact by from sincerely regards".split()),
+    "secret": frozenset("key keys credentials credential login".split()) | frozenset(_KEY_WORDS),
 }
 CONTEXT_CHARS = 40
+_WORD = re.compile(r"[\w-]+")
 
 Span = tuple[str, int, int]
 
@@ -107,6 +123,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         found += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
         found += [("iban", *m.span()) for m in _IBAN.finditer(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+        found += [("secret", *m.span()) for m in _SECRET.finditer(text)]
     if any(t in text for t in _TITLES):
         found += [("name", *m.span()) for m in _NAME.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
@@ -126,11 +143,12 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     s = text[start:end]
     digits = _NOT_DIGIT.sub("", s)
     before = text[max(0, start - CONTEXT_CHARS) : start].lower()
-    context = 1 if any(w in before for w in CONTEXT[kind]) else 0
+    context = 1 if not CONTEXT[kind].isdisjoint(_WORD.findall(before)) else 0
     if kind == "email":
         plain = "@" in s
         tld = re.split(r"[\s.\])]+", s.strip("])"))[-1].lower()
-        return (1 if plain else 0, 1 if tld in TLDS else -1, context, 1 if plain or re.search(r"[\[(]", s) else -1, int(plain))
+        # every country has a domain of two letters
+        return (1 if plain else 0, 1 if tld in TLDS or (len(tld) == 2 and tld.isalpha()) else -1, context, 1 if plain or re.search(r"[\[(]", s) else -1, int(plain))
     if kind == "ip":
         parts = [int(p) for p in s.split(".")]
         return (1, -1 if parts[0] in (0, 127, 255) else 1, context, 1 if parts[0] >= 10 else -1, 0)
@@ -142,9 +160,13 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
         code = any(digits.startswith(c) for c in CALLING_CODES)
         return (1 if intl else 0, (1 if code else -1) if intl else 0, context, 1 if re.search(r"[ ().-]", s) and len(digits) >= 10 else -1, int(intl))
     if kind == "iban":
-        return (1, 1 if s[:2] in ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE") else -1, context, 1 if _iban_ok(s) else -1, 0)
+        return (1, 1 if IBAN_LENGTHS.get(s[:2]) == len(s.replace(" ", "")) else -1, context, 1 if _iban_ok(s) else -1, 0)
     if kind == "ssn":
         return (1, 0, context, -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1, 0)
+    if kind == "secret":
+        kinds = sum((any(c.isdigit() for c in s), any(c.islower() for c in s), any(c.isupper() for c in s)))
+        mixed = len(set(s)) >= 10 and len(digits) >= 3 and (kinds == 3 or len(s) >= 32)
+        return (1 if _ISSUED.match(s) or _SET.search(before) else -1, 1 if _ISSUED.match(s) else 0, context, 1 if mixed else -1, int(len(s) >= 32))
     words = s.split()
     return (1, 1 if any(w.strip(".,'").lower() in GIVEN_NAMES for w in words[1:]) else 0, context, 1 if len(words) == 3 else -1, len(words) - 2)
 

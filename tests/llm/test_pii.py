@@ -76,4 +76,44 @@ def test_redact(spark, docs_of):
 
 
 def test_no_candidates():
-    assert not np.any(pii.all_spans("nothing", np.zeros(16))[1])
+    assert not np.any(pii.all_spans("nothing", np.zeros(len(pii._features(["email 1 1 1 1 0"])[0])))[1])
+
+
+def test_candidates_do_not_hang_on_words_elsewhere():
+    """What is a candidate depends on the span alone, not on what stands elsewhere in the text."""
+    for text, n in (("ann at example.com", 0), ("ann at example.com here dot there", 0), ("ann at example dot com", 1), ("ann [at] example.com", 1), ("ann (at) example (dot) co", 1)):
+        assert len([c for c in pii.candidates(text, []) if c[0] == "email"]) == n, text
+
+
+def test_secrets(spark, docs_of):
+    """Keys that are set or issued are found, long words and numbers are not."""
+    rng = random.Random(1)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [f'here token = "{key(40)}" and on, Donaudampfschiffahrt{i} lies on page 20240101' for i in range(30)] + ["nothing set here at all", "AKIA" + "0123456789ABCDEF"]
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs_of(rows)).collect()}
+    assert all(got[i] == "secret:14:54" for i in range(30)) and got[30] == ""
+    assert pii._iban_ok("DE89370400440532013000") and pii.votes("IBAN DE89 3704 0044 0532 0130 00", ("iban", 5, 32))[:4] == (1, 1, 1, 1)
+
+
+def test_very_long_texts():
+    for text in ("a1" * 2_000_000, "1" * 3_000_000, "x@" * 500_000, "+1 " * 500_000, "1.2." * 500_000, "token = " * 300_000, "DE89 " * 300_000):
+        base = pii.base_spans(text)
+        pii.candidates(text, base)
+
+
+def test_query_whole_table(spark):
+    """Base columns of every document against the plain patterns; all base spans are among all spans."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = pii.op9_pii(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain(texts[r.doc_id])
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [x for x in spans if x in set(written)] == written
+        order = [(pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])) for x in spans]
+        assert order == sorted(order)
+    assert sum(r.spans.count("secret:") for r in got) > 0
