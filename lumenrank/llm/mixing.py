@@ -102,9 +102,9 @@ def _place(epoch: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """row (all columns of docs), src, n_tokens and h, the place of a document before any permutation."""
+    """row (all columns of docs), src, n_tokens and h, the place of a document before any permutation; without an id its text gives the place."""
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), src.alias("src"), word_count(text_col).alias("n_tokens"), F.xxhash64(F.col(id_col).cast("long"), F.lit(SEED)).alias("h"), F.col(id_col).cast("long").alias("id"))
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), src.alias("src"), word_count(text_col).alias("n_tokens"), F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.lit(SEED))).otherwise(F.xxhash64(F.col(text_col).cast("string"), F.lit(SEED + 1))).alias("h"), F.col(id_col).cast("long").alias("id"))
 
 
 def _plan(rows: DataFrame, max_epochs: float | None, target_entropy: float | None, budget: float | None) -> tuple[DataFrame | None, Temperature]:
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
     whole budget. It is passed over as often as that holds all its tokens; the last pass takes whole blocks in the
     order of that pass's permutation, then part of one block, and ends with the document that reaches the budget. To
     be read by (mix_epoch, mix_place): the place orders a pass. A null source is a source of its own. Documents
-    without tokens (null, empty) are used once per full pass. Repeated rows share a place and are taken together.
+    without tokens (null, empty) are used once per full pass. Repeated ids share a place and are taken together; rows without an id are placed by their text.
     Columns of docs that bear the name of an added one are replaced. An empty table gives no rows. A hot source is cut
     by sums over its 2**BITS blocks and theirs, never sorted as a whole.
     """

@@ -104,3 +104,12 @@ def test_query(spark):
     want, chosen = mx.mix(docs)
     check(docs, want, chosen)
     assert sorted((r.doc_id, r.mix_epoch, r.mix_place) for r in got.collect()) == sorted((r.doc_id, r.mix_epoch, r.mix_place) for r in want.collect())
+
+
+def test_null_ids_keep_the_budget(spark, docs_of):
+    """Rows without an id have places of their own, so a part of a pass takes a part of them."""
+    for null in (False, True):
+        rows = [(None if null else i, f"a b c{i}", "one") for i in range(50)]
+        mixture, _ = mx.mix(docs_of(rows), budget=75.0)
+        n = mixture.agg({"n_tokens": "sum"}).first()[0]
+        assert 75 <= n <= 78
