@@ -7,7 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -37,15 +37,25 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(bits.view("<u8")[0])
 
 
+def _tid(text: Column) -> Column:
+    """A hash that tells apart different texts under one doc_id."""
+    return F.xxhash64(text.cast("string"))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tid, text) of every row of docs."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _tid(F.col(text_col)).alias("tid"), F.col(text_col).cast("string").alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of docs; null texts count as empty."""
+    """(doc_id, tid, fp): one row per row of docs; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "tid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, tid long, fp long")
 
 
 def _turned(fp: np.ndarray, block: int) -> np.ndarray:
@@ -147,7 +157,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs: component_id is the least doc_id reachable over links of RADIUS bits or fewer.
+    """(doc_id, tid, fp, component_id, grp) for every row of docs: component_id is the least doc_id reachable over links of RADIUS bits or fewer.
 
     Null and empty texts have fingerprint zero and link like any other; texts of fewer than SHINGLE words are one
     shingle. Repeated rows each come back; a null doc_id never becomes a component_id unless its group has no other.
@@ -157,30 +167,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def components_of(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of fps (doc_id, fp), a table; links gives (a, b) among its distinct fp."""
+    """(doc_id, tid, fp, component_id, grp) for every row of fps (doc_id, tid, fp), a table; links gives (a, b) among its distinct fp.
+
+    grp is the least fp of a component: it tells apart components whose least doc_id is the same, as repeated ids may have it.
+    """
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     comps = connected_components(links(reps), "simhash-cc")
     full = materialise(reps.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp")), "simhash-comps")
     least = full.groupBy("comp").agg(F.min("rep").alias("component_id")).select((F.col("comp") + F.lit(0)).alias("k"), "component_id")
-    of_fp = materialise(full.join(least, F.col("comp") == F.col("k")).select(F.col("fp").alias("k"), "component_id"), "simhash-ids")
-    return fps.join(of_fp, F.col("fp") == F.col("k"), "left").select("doc_id", "fp", "component_id")
+    of_fp = materialise(full.join(least, F.col("comp") == F.col("k")).select(F.col("fp").alias("k"), "component_id", F.col("comp").alias("grp")), "simhash-ids")
+    return fps.join(of_fp, F.col("fp") == F.col("k"), "left").select("doc_id", "tid", "fp", "component_id", "grp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[..., DataFrame] = simhash_components) -> DataFrame:
-    """docs with one document of each group of near-duplicates, as components finds them: that of the least doc_id; all columns stay.
+    """docs with one row of each group of near-duplicates, as components finds them; all columns stay, whatever their names.
 
-    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id go if their group has an id, else they all stay.
+    Kept is the row of the least doc_id; of different texts under that id the one of least hash; of rows that are equal
+    in both any one. Null ids come after all others. An empty table gives no rows.
     """
-    groups = materialise(components(docs, id_col, text_col), "simhash-groups")
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    same = docs[f"`{id_col}`"].cast("long") == kept["kept_id"]
-    if kept.where("kept_rows > 1").isEmpty():
-        out = docs.join(kept, same, "left_semi")
-    else:
-        out = docs.join(kept.where("kept_rows = 1"), same, "left_semi").unionAll(docs.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
-    if not groups.where("doc_id is null and component_id is null").isEmpty():
-        out = out.unionAll(docs.where(docs[f"`{id_col}`"].isNull()))
-    return out
+    groups = components(docs, id_col, text_col).groupBy("grp", "doc_id", "tid").agg(F.count("*").alias("n"))
+    kept = groups.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "n")).alias("x"))
+    kept = materialise(kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.tid").alias("kept_tid"), F.col("x.n").alias("n")), "kept")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[f"`{id_col}`"].cast("long").alias("id"), _tid(docs[f"`{text_col}`"]).alias("tid"))
+    same = lambda k: F.col("id").eqNullSafe(k["kept_id"]) & (F.col("tid") == k["kept_tid"])
+    one, more = kept.where("n = 1"), kept.where("n > 1")
+    out = rows.join(one, same(one), "left_semi")
+    if not more.isEmpty():
+        out = out.unionAll(rows.join(more, same(more), "left_semi").dropDuplicates(["id", "tid"]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def texts_around_the_limit():
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     passage = " ".join(word() for _ in range(40))
     out = [None, "", " \t", "one", "One", "one two three four", "a b c d e", "A b c d e", "a b c d e f"]
-    for n in (20, 60, 150, 700):
+    for n in (20, 60, 150, 700, 1100):
         for _ in range(4):
             base = [word() for _ in range(n)]
             out.append(" ".join(base))
@@ -89,3 +89,27 @@ def test_keep_one_and_empty(spark, docs_of):
     assert sorted(r.doc_id for r in sh.keep_one(docs_of(rows), components=ja.jaccard_components).collect()) == [3, 7, 9]
     assert ja.jaccard_components(docs_of([])).count() == 0
     assert sh.keep_one(docs_of([(None, "x y z"), (1, "q r s t")]), components=ja.jaccard_components).count() == 2
+
+
+def test_components_cut_in_parts(spark, docs_of):
+    """A component too large for one tile is compared part by part."""
+    texts = texts_around_the_limit()
+    assert {r.doc_id: r.component_id for r in ja.jaccard_components(docs_of(texts), part_bytes=2000).collect()} == plain_components(dict(enumerate(texts)))
+
+
+def test_repeated_ids_lose_no_group(spark, docs_of):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (1, "a b c d e f")]
+    for components in (ja.jaccard_components, sh.simhash_components):
+        assert sorted((r.doc_id, r.text) for r in sh.keep_one(docs_of(rows), components=components).collect()) == [(1, "a b c d e f"), (1, "u v w x y z")]
+
+
+def test_sketches_bound_the_difference():
+    """Never more bits than members that differ, whatever the lengths; unlike sets are far apart, large ones too."""
+    rng = ja.np.random.default_rng(1)
+    sets = [ja.np.unique(rng.integers(0, 1 << 63, n, dtype=ja.np.uint64)) for n in (0, 1, 900, 1000, 1100, 2100, 5000, 30000)]
+    sets += [ja.np.union1d(x[::2], x[:20]) for x in sets]
+    k = ja._Sketches([ja._sketch(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, d in enumerate(k.apart(i, ja.np.arange(len(sets)))):
+            assert d <= len(ja.np.setxor1d(a, sets[j]))
+    assert k.apart(6, ja.np.array([7]))[0] * 9 > (len(sets[6]) + len(sets[7]))

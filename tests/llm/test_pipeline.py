@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 from lumenrank.llm import decontaminate as dc
 from lumenrank.llm import toxicity as tx
 from test_decontaminate import plain_tiles
-from test_simhash import plain_components, plain_fp
+from test_jaccard import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
     score = {r.doc_id: r.predicted for r in tx.op2_toxicity(spark, SF).collect()}
     assert after == {i: t for i, t in before.items() if not score[i]}
     before, after = map(texts, read["simhash_near_dedup"])
-    comp = plain_components({i: plain_fp(t) for i, t in before.items()})
+    comp = plain_components(before)
     assert after == {i: t for i, t in before.items() if comp[i] == i}
     before, after = map(texts, read["benchmark_decontamination"])
     items = [dc.tokens(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
     before, after = map(texts, read["pii"])
     assert set(before) == set(after)
     assert not any(re.search(r"[A-Za-z0-9]@[a-z]+[0-9]*\.example", t) for t in after.values())
-    assert all(before[i] == t for i, t in after.items() if not re.search(r"\[(EMAIL|IP|CARD|PHONE|IBAN|SSN|NAME)\]", t))
+    assert all(before[i] == t for i, t in after.items() if not re.search(r"\[(EMAIL|IP|CARD|PHONE|IBAN|SSN|NAME|SECRET)\]", t))
     before, mixed = read["mixing"]
     assert {r.doc_id for r in mixed.collect()} == set(texts(before))
 
