@@ -28,6 +28,11 @@ def numbered(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame
     return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
+def numbered_few(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
+    """numbered() for the rows that a limit has left: they fit one task."""
+    return df.withColumn(name, F.row_number().over(W.orderBy(*keys)).cast("long"))
+
+
 def share_cut(df: DataFrame, keys: list[Column], top_n: int, share: float, name: str = "rank") -> DataFrame:
     """The best rows: so many of them as the share says, cut to a whole number, but top_n at least."""
     k = max(top_n, int(df.count() * share))

@@ -71,9 +71,9 @@ def votes(df: DataFrame, item: str = "vec_id") -> DataFrame:
     return df.withColumns({"total": F.when(v % 7 == 3, None).otherwise(summed).cast("long"), "failed": v % 13 == 0, "scorer": F.when(v % 3 == 0, "claude").when(v % 3 == 1, "ollama").otherwise("clip"), "available": v % 17 != 0})
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, composite, model scores, final_score)."""
-    df = votes(technical(spark, sf_dir).select("vec_id", "label", "composite"))
+def scored(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """(vec_id, label, composite, model scores, final_score); known is technical(), if it is there already."""
+    df = votes((known or technical(spark, sf_dir)).select("vec_id", "label", "composite"))
     return df.withColumn("final_score", F.round(scoring.final_score(F.col("composite"), F.col("total"), F.col("crop_4x5"), F.col("scorer"), F.col("failed"), F.col("available")), 9))
 
 

@@ -15,18 +15,19 @@ LIMIT = 6
 
 def full_pipeline(spark, d):
     """Leaders of hashes, the best of each by sharpness with a swap by composite, the share that is scored, and the crop-gated top."""
-    kept = grouping.dedup_only(spark, d).select(F.col("chosen").alias("vec_id"), "leader", "selected_by")
-    df = kept.join(ad.scored(spark, d), "vec_id")
+    known = ad.technical(spark, d)
+    kept = grouping.dedup_only(spark, d, known).select(F.col("chosen").alias("vec_id"), "leader", "selected_by")
+    df = kept.join(ad.scored(spark, d, known), "vec_id")
     cut = ranking.share_cut(df, ranking.best_first(F.col("composite"), F.col("vec_id")), scores.TOP, scores.SHARE, "technical_rank")
     top = ranking.crop_gated_top(cut, scores.TOP, F.col("crop_4x5"), F.col("final_score"), F.col("vec_id"))
-    top = ranking.numbered(top, [F.col("crop_safe").desc(), *ranking.best_first(F.col("final_score"), F.col("vec_id"))])
+    top = ranking.numbered_few(top, [F.col("crop_safe").desc(), *ranking.best_first(F.col("final_score"), F.col("vec_id"))])
     return top.select("rank", "vec_id", "leader", "selected_by", "technical_rank", "crop_safe", F.round("final_score", 6).alias("final_score"))
 
 
 def _top(spark, d):
     """The crop-gated top as items with a path, a caption and a burst."""
     top = ranking.crop_gated_top(ad.scored(spark, d), scores.TOP, F.col("crop_4x5"), F.col("final_score"), F.col("vec_id"))
-    top = ranking.numbered(top, [F.col("crop_safe").desc(), *ranking.best_first(F.col("final_score"), F.col("vec_id"))])
+    top = ranking.numbered_few(top, [F.col("crop_safe").desc(), *ranking.best_first(F.col("final_score"), F.col("vec_id"))])
     path = lambda v: F.concat(F.lit("/in/set a/"), v.cast("string"), F.lit(".v1.PNG"))
     v = F.col("vec_id")
     return top.withColumns({"path": path(v), "line": F.concat(F.lit("a|b\n"), F.col("scorer")), "members": F.when(v % 2 == 0, F.array(path(v), path(v + 1))).otherwise(F.array(path(v))), "selected_by": F.when(v % 2 == 0, "sharpness").otherwise(""), "cropped": v % 4 != 1, "uncertain": v % 3 == 0, "reasons": F.when(v % 3 == 0, F.array(F.lit("subject_bbox_hits_image_edge"))).otherwise(F.array().cast("array<string>"))})
@@ -109,7 +110,7 @@ SQL = {
     "report_markdown": f"""WITH {_ROWS}, h AS (SELECT * FROM (VALUES (-3, '## Selected'), (-2, '| Rank | File | Score | Technical | Model | Caption | Output |'), (-1, '| --- | --- | --- | --- | --- | --- | --- |')) AS v(line_no, line))
       SELECT line_no::BIGINT AS line_no, line FROM h UNION ALL SELECT rank, '| ' || rank || ' | ' || filename || ' | ' || format('{{:.4f}}', final_score) || ' | ' || format('{{:.4f}}', technical_composite) || ' | ' || coalesce(total::VARCHAR, '') || ' | ' || replace(one_line, '|', '\\|') || ' | ' || coalesce(output_cropped, '') || ' |' FROM rows""",
     "gallery_stats": f"WITH {_ROWS} SELECT count(*) AS n, count(*) FILTER (uncertain) AS n_uncertain, round(arg_min(final_score, rank), 6) AS first_score, round(avg(final_score), 6) AS mean_final, round(avg(technical_composite), 6) AS mean_technical, round(avg(total), 6) AS mean_total FROM rows",
-    "gallery_rows": """SELECT d.doc_id, 'out/' || lang || '%20' || d.doc_id || '.jpg' AS href, coalesce(quality, -1) AS quality, coalesce(trim(replace(replace(left(c.text, 40), '|', '\\|'), chr(10), ' ')), '') AS caption, array_to_string(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda b: b IS NOT NULL), ',') AS badges
+    "gallery_rows": """SELECT d.doc_id, 'out/' || lang || '%20' || d.doc_id || '.jpg' AS href, coalesce(quality, -1) AS quality, coalesce(trim(replace(replace(c.text, '|', '\\|'), chr(10), ' ')), '') AS caption, array_to_string(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda b: b IS NOT NULL), ',') AS badges
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0""",
     "folder_rollup": f"""WITH {_PATH}, s AS (SELECT page_id, parts, unnest(range(len(parts))) AS i, CASE WHEN page_id % 5 <> 0 THEN page_id % 7 ELSE 0 END AS images FROM paths)
       SELECT array_to_string(parts[1:i], '/') AS parent, parts[i + 1] AS child, count(*) AS galleries, sum(images)::BIGINT AS images, arg_min(array_to_string(parts, '/'), page_id) AS thumbnail FROM s GROUP BY 1, 2""",

@@ -49,7 +49,7 @@ def expand_box(spark, d):
 
 
 def subject_fallback(spark, d):
-    """Pictures without a detection of confidence 0.8 fall back to a saliency box (every other one has one), then to the middle."""
+    """Pictures without a detection of confidence 0.95 fall back to a saliency box (every other one has one), then to the middle."""
     df = ad.detections(spark, d)
     images = df.groupBy("image", *FRAME).agg(F.count("*").alias("n"))
     has = F.col("image") % 2 == 0

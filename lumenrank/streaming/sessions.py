@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenrank.operators.dedup import GAP_SECONDS
 
@@ -20,26 +16,3 @@ def burst_windows(shots: DataFrame, key: str, time: str = "ts", gap: float = GAP
     rows = shots.withWatermark(time, delay) if shots.isStreaming else shots
     window = F.session_window(F.col(time), f"{round(gap * 1000)} milliseconds")
     return rows.groupBy(F.col(key), window.alias("w")).agg(F.count("*").alias("shots")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "shots")
-
-
-def online_leaders(shots: DataFrame, key: str, limit: int, keep: int = 10_000) -> DataFrame:
-    """(key, ord, leader) as shots (key, ord, bits) of a stream come in: each joins the oldest leader of its key within limit bits, or leads.
-
-    State is the last keep leaders of a key, so it is bounded; order is that of arrival.
-    """
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ords, bits = (list(x) for x in state.get) if state.exists else ([], [])
-        for pdf in batches:
-            out = []
-            for o, b in zip(pdf["ord"], pdf["bits"], strict=True):
-                near = next((q for q, c in zip(ords, bits, strict=True) if ((int(b) ^ int(c)) & (2**64 - 1)).bit_count() <= limit), None)
-                if near is None:
-                    near = int(o)
-                    ords, bits = [*ords, near][-keep:], [*bits, int(b)][-keep:]
-                out.append((group[0], int(o), near))
-            yield pd.DataFrame(out, columns=[key, "ord", "leader"])
-        state.update((ords, bits))
-
-    kind = shots.schema[key].dataType.simpleString()
-    return shots.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ord long, leader long", "ords array<long>, bits array<long>", "append", GroupStateTimeout.NoTimeout)
