@@ -76,12 +76,12 @@ def with_rubric(df: DataFrame, text: str, out: str = "raw") -> DataFrame:
     """
     df = df.withColumn("__text", strip(F.coalesce(F.col(text), F.lit(""))))
     t = F.col("__text")
-    df = df.withColumn("__known", F.array(*(score(F.coalesce(*(_found(t, f"(?is){LABELS[k]}{p}") for p in AFTER_LABEL)).cast("double")) for k in KEYS)))
+    df = df.withColumn("__known", F.array(*(score(F.coalesce(*(_found(t, f"(?isU){LABELS[k]}{p}") for p in AFTER_LABEL)).cast("double")) for k in KEYS)))
     df = df.withColumn("__some", F.filter("__known", lambda v: v.isNotNull()))
     df = df.withColumn("__fill", score(array_mean(F.col("__some"))))
     df = df.withColumn("__full", F.transform("__known", lambda v: F.coalesce(v, F.col("__fill"))))
-    total = F.coalesce(_total(_found(t, rf"(?is)\btotal\s*[:=-]?\s*{NUMBER}").cast("double")), F.aggregate("__full", F.lit(0).cast("long"), lambda s, v: s + v))
-    line = strip(F.regexp_extract(strip(F.regexp_extract(t, r"(?is)\bone[\s_-]*line\s*[:=-]\s*(.+)", 1)), r"^[^\r\n]*", 0))
+    total = F.coalesce(_total(_found(t, rf"(?isU)\btotal\s*[:=-]?\s*{NUMBER}").cast("double")), F.aggregate("__full", F.lit(0).cast("long"), lambda s, v: s + v))
+    line = strip(F.regexp_extract(strip(F.regexp_extract(t, r"(?isU)\bone[\s_-]*line\s*[:=-]\s*(.+)", 1)), r"^[^\r\n]*", 0))
     line = F.when(line != "", line).otherwise(F.substring(first_sentence(t), 1, 180))
     fields = F.struct(*(F.get("__full", F.lit(i)).cast("string").alias(k) for i, k in enumerate(KEYS)), total.cast("string").alias("total"), line.alias("one_line"))
     return df.withColumn(out, F.when(F.size("__some") >= 3, fields)).drop("__text", "__known", "__some", "__fill", "__full")
@@ -90,7 +90,7 @@ def with_rubric(df: DataFrame, text: str, out: str = "raw") -> DataFrame:
 def neutral_scores(text: Column) -> Column:
     """Fields (RAW) of prose: the median of all "n/10", else 5, for every score; null without text."""
     text = strip(F.coalesce(text, F.lit("")))
-    rated = F.transform(F.regexp_extract_all(text, F.lit(rf"\b{NUMBER}\s*/\s*10\b"), F.lit(1)), lambda v: v.cast("double"))
+    rated = F.transform(F.regexp_extract_all(text, F.lit(rf"(?U)\b{NUMBER}\s*/\s*10\b"), F.lit(1)), lambda v: v.cast("double"))
     value = F.coalesce(score(array_median(rated)), F.lit(5).cast("long"))
     first = first_sentence(text)
     line = F.when(first != "", F.substring(first, 1, 180)).otherwise(PROSE_LINE)

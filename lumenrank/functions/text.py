@@ -12,13 +12,14 @@ QWEN = ("qwen3-vl", "qwen2.5vl", "qwen2.5-vl")
 QWEN_SMALL_EDGE, QWEN_SMALL, QWEN_LARGE, OTHER_TOKENS = 512, 650, 750, 220
 RETRYABLE = ("timed out", "timeout", "connection failed", "connection reset", "temporarily unavailable", "429", "500", "502", "503", "504")
 RATE_LIMIT = ("429", "rate", "overloaded", "529")
+CONTEXT_PATTERN = r"(?isU)\bcontext:\s*(.+?)(?:\.\s*rate each criterion|\.\s*return only|\n\n)"
+BENCH_FAILED = ("vision scoring failed", "technical-only", "circuit breaker", "ollama unavailable")
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".tiff", ".bmp")
-WHITE = r"[\s  -   　]"
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def markdown_cell(x: Column) -> Column:
@@ -28,23 +29,23 @@ def markdown_cell(x: Column) -> Column:
 
 def first_sentence(x: Column) -> Column:
     """Up to the white space that follows the first full stop, question or exclamation mark."""
-    return strip(F.get(F.split(strip(x), r"(?<=[.!?])\s+", 2), F.lit(0)))
+    return strip(F.get(F.split(strip(x), r"(?U)(?<=[.!?])\s+", 2), F.lit(0)))
 
 
 def one_line(raw: Column, fallback: Column) -> Column:
     """A caption: raw, or the first sentence of the fallback, on one line, without back-ticks and one quote at either end, cut at 220."""
     empty = F.lit("")
     line = F.coalesce(F.nullif(strip(F.coalesce(raw, empty)), empty), F.nullif(first_sentence(F.coalesce(fallback, empty)), empty), F.lit(DEFAULT_LINE))
-    line = F.regexp_replace(strip(F.regexp_replace(line, r"\s+", " ")), r"^`+|`+$", "")
+    line = F.regexp_replace(strip(F.regexp_replace(line, r"(?U)\s+", " ")), r"^`+|`+$", "")
     # Each step names the one before once, so the expression stays small.
-    line = F.regexp_replace(line, r"(?s)^['\"]\s*(.*?)\s*$", "$1")
-    line = F.regexp_replace(line, r"(?s)^\s*(.*?)\s*['\"]$", "$1")
+    line = F.regexp_replace(line, r"(?sU)^['\"]\s*(.*?)\s*$", "$1")
+    line = F.regexp_replace(line, r"(?sU)^\s*(.*?)\s*['\"]$", "$1")
     return F.coalesce(F.nullif(F.substring(line, 1, 220), empty), F.lit(DEFAULT_LINE))
 
 
 def context(prompt: Column) -> Column:
     """The account context that a prompt names, or the default."""
-    found = F.regexp_extract(F.coalesce(prompt, F.lit("")), r"(?is)\bcontext:\s*(.+?)(?:\.\s*rate each criterion|\.\s*return only|\n\n)", 1)
+    found = F.regexp_extract(F.coalesce(prompt, F.lit("")), CONTEXT_PATTERN, 1)
     bare = F.regexp_replace(F.regexp_replace(strip(found), r'^"+|"+$', ""), r"^'+|'+$", "")
     return F.when(bare != "", bare).otherwise(DEFAULT_CONTEXT)
 

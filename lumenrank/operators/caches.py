@@ -52,6 +52,18 @@ def added(cache: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return cache.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*cache.columns))
 
 
-def cached_then_fresh(hits: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Both, in the order of ord: unlike a plain concatenation, ties do not depend on what was cached."""
-    return hits.unionByName(fresh)
+def cached_then_fresh(hits: DataFrame, fresh: DataFrame, ord_: str = "ord") -> DataFrame:
+    """Both, by name, in the order of ord_: unlike a plain concatenation, ties do not depend on what was cached."""
+    return hits.unionByName(fresh).orderBy(ord_)
+
+
+def vision_entries(scored: DataFrame, items: DataFrame, model: str, prompt_sha256: Column) -> DataFrame:
+    """Cache entries (key, source_sha256, model, prompt_sha256, vision) of what was scored: path and vision, of items (path, source_sha256). Failed items have none."""
+    rows = scored.where("vision is not null").select("path", "vision").join(items.select("path", "source_sha256"), "path")
+    return rows.select(vision_key(F.col("path")).alias("key"), "source_sha256", F.lit(model).alias("model"), prompt_sha256.alias("prompt_sha256"), "vision")
+
+
+def fresh(sources: DataFrame, work: DataFrame) -> DataFrame:
+    """sources (path, mtime, ...) with reusable: whether work (path, mtime) has a copy that is not older."""
+    known = work.groupBy("path").agg(F.max("mtime").alias("__made"))
+    return sources.join(known, "path", "left").withColumn("reusable", F.coalesce(F.col("__made") >= F.col("mtime"), F.lit(False))).drop("__made")

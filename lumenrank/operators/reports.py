@@ -33,11 +33,11 @@ def histogram(df: DataFrame, score: Column, width: int = 30) -> DataFrame:
     return both.join(F.broadcast(most)).select("bin", (F.col("bin") / BINS).alias("low"), "n", F.coalesce(text.bar(F.col("n") / F.col("most"), width), F.lit("")).alias("bar"))
 
 
-def report_rows(top: DataFrame) -> DataFrame:
+def report_rows(top: DataFrame, ext: str = ".jpg") -> DataFrame:
     """One row for each of the top items (rank, path, final_score, composite, total, line, uncertain, reasons, members, selected_by, cropped)."""
     name = text.file_name(F.col("path"))
     burst = F.when(F.size("members") > 1, F.struct(F.size("members").cast("long").alias("count"), F.col("selected_by"), F.transform("members", text.file_name).alias("members")))
-    out = lambda kind: text.ranked_name(F.col("rank"), kind, text.stem(F.col("path")), ".jpg")
+    out = lambda kind: text.ranked_name(F.col("rank"), kind, text.stem(F.col("path")), ext)
     return top.select(
         "rank",
         name.alias("filename"),
@@ -67,12 +67,6 @@ def gallery_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min(F.struct("rank", "final_score")).alias("f"), F.avg("final_score").alias("mean_final"), F.avg("technical_composite").alias("mean_technical"), F.avg("total").alias("mean_total"), F.count_if("uncertain").alias("n_uncertain")).select("n", F.col("f.final_score").alias("first_score"), "mean_final", "mean_technical", "mean_total", "n_uncertain")
 
 
-def ancestors(path: Column) -> Column:
-    """The folders above a path, from the root ("") down to its own."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-
-
 def folder_rollup(items: DataFrame, folder: Column, images: Column, ord_: Column) -> DataFrame:
     """(parent, child, galleries, images, thumbnail): for each folder what each child folder holds, all levels down.
 
@@ -97,3 +91,36 @@ def breaker(events: DataFrame, group: str, ord_: list[Column], failed: Column, l
     out = events.withColumn("__island", F.sum(F.when(failed, 0).otherwise(1)).over(of_group))
     out = out.withColumn("failures_in_row", F.sum(F.when(failed, 1).otherwise(0)).over(W.partitionBy(group, "__island").orderBy(*ord_)).cast("long"))
     return out.withColumn("open", F.max("failures_in_row").over(of_group) >= limit).drop("__island")
+
+
+def all_markdown(scored: DataFrame) -> DataFrame:
+    """(line_no, line) of the table of all scored items, best first: final, technical and model scores, the seven metrics, and the caption. scored has rank."""
+    head = scored.sparkSession.createDataFrame([(-3, "## All analysed"), (-2, "| Rank | File | Final | Technical | Model | " + " | ".join(WEIGHTS) + " |"), (-1, "| --- " * (5 + len(WEIGHTS)) + "|")], "line_no long, line string")
+    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit(""))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("rank").cast("string"), text.markdown_cell(text.file_name(F.col("path"))), F.format_string("%.4f", "final_score"), F.format_string("%.4f", "composite"), F.coalesce(F.concat(F.col("vision.total").cast("string"), F.lit("/60")), F.lit("")), *(number(m) for m in WEIGHTS)), F.lit(" |"))
+    return head.unionAll(scored.select(F.col("rank").cast("long"), cells))
+
+
+def title(scorer: str | None) -> str:
+    """The heading of a report by who scored."""
+    return "Selected (technical scores only)" if scorer is None else f"Selected (scored by {scorer})"
+
+
+def failed_in_bench(line: Column) -> Column:
+    """Whether the caption of a benchmark's item says that scoring failed."""
+    return text.holds(line, text.BENCH_FAILED)
+
+
+def bench_modes(items: DataFrame) -> DataFrame:
+    """Per mode (column mode) over runs (mode, run, duration, final_score, line of each item): means over runs of duration, seconds an image, images a minute, failures, mean and median score; fastest first."""
+    runs = items.groupBy("mode", "run").agg(F.max("duration").alias("duration"), F.count("*").alias("images"), F.count_if(failed_in_bench(F.col("line"))).alias("failed"), F.avg("final_score").alias("mean_score"), F.percentile("final_score", 0.5).alias("median_score"))
+    out = runs.groupBy("mode").agg(F.count("*").alias("runs"), F.avg("duration").alias("mean_seconds"), F.avg(F.try_divide("duration", "images")).alias("seconds_an_image"), F.avg(F.try_divide(60 * F.col("images"), F.col("duration"))).alias("images_a_minute"), F.avg("failed").alias("mean_failed"), F.avg("mean_score").alias("mean_score"), F.avg("median_score").alias("median_score"))
+    return out.orderBy(F.col("seconds_an_image").asc_nulls_last(), "mode")
+
+
+def bench_markdown(summary: DataFrame, name: str) -> DataFrame:
+    """(line_no, line) of a benchmark's table; summary has name, runs, seconds_an_image, images_a_minute and mean_seconds, and few rows."""
+    head = summary.sparkSession.createDataFrame([(-2, "| Name | Runs | Seconds an image | Images a minute | Seconds |"), (-1, "| --- | --- | --- | --- | --- |")], "line_no long, line string")
+    place = F.row_number().over(W.orderBy(F.col("seconds_an_image").asc_nulls_last(), name)).cast("long")
+    number = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit(""))
+    return head.unionAll(summary.select(place, F.concat(F.lit("| "), F.concat_ws(" | ", text.markdown_cell(F.col(name)), F.col("runs").cast("string"), number("seconds_an_image"), number("images_a_minute"), number("mean_seconds")), F.lit(" |"))))

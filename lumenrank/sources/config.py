@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.numeric import clamp
+from lumenrank.functions.text import DEFAULT_CONTEXT
 
 # Name -> (kind, default, least, most).
 SETTINGS = {
@@ -54,6 +55,48 @@ def resolve(name: str, places: list[dict[str, str]], default: str | None = None,
     return default
 
 
+# The variables of each, in the order in which they count.
+API_KEY, HUB_TOKENS, CLAUDE_MODELS = "ANTHROPIC_API_KEY", ("HF_TOKEN", "HUGGINGFACE_HUB_TOKEN"), ("ANTHROPIC_MODEL", "CLAUDE_MODEL")
+CLAUDE_DEFAULT, ACCOUNT = "claude-haiku-4-5-20251001", "ACCOUNT_CONTEXT"
+
+
+def api_key(places: list[dict[str, str]], export: dict[str, str] | None = None) -> str:
+    """The key of the remote scorer: an error where none is set; export, if given, gets it, as clients read it there."""
+    value = resolve(API_KEY, places, required=True)
+    if export is not None:
+        export[API_KEY] = value
+    return value
+
+
+def hub_token(places: list[dict[str, str]], export: dict[str, str] | None = None) -> str | None:
+    """The token of the model hub, by either name, in each place before the next; none is fine."""
+    for place in places:
+        for name in HUB_TOKENS:
+            if value := (place.get(name) or "").strip():
+                if export is not None:
+                    export[HUB_TOKENS[0]] = value
+                return value
+    return None
+
+
+def claude_model(asked: str | None, env: dict[str, str]) -> str:
+    """The model by the command line, else by the process's variables, else the default."""
+    return next((v for v in ((asked or "").strip(), *((env.get(n) or "").strip() for n in CLAUDE_MODELS)) if v), CLAUDE_DEFAULT)
+
+
+def account_context(places: list[dict[str, str]]) -> str:
+    """What the model is told about the account."""
+    return resolve(ACCOUNT, places, DEFAULT_CONTEXT)
+
+
+def model_weights(name: str, env: dict[str, str], cache: str, variable: str = "DETECTOR_WEIGHTS") -> str:
+    """Where a detector's weights lie: a variable, else a file in the cache. There is no network to fetch them from, so none is an error."""
+    for path in ((env.get(variable) or "").strip(), os.path.join(cache, name)):
+        if path and os.path.isfile(path):
+            return path
+    raise FileNotFoundError(f"{name} is neither in {variable} nor in {cache}")
+
+
 def process_env() -> dict[str, str]:
     return dict(os.environ)
 

@@ -53,7 +53,7 @@ def test_sessions_at_the_gap(spark):
     times = [0.0, 3.0, 6.0, 9.5, 3599.0, 3601.5, 7200.0, 20000.0, None]
     df = spark.createDataFrame(list(enumerate(times)), "ord long, t double")
     got = {r.ord: r.session_id for r in dedup.sessions(df, F.col("t"), F.col("ord")).collect()}
-    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4, 7: 5}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4, 7: 5, 8: 0}
 
 
 def test_near_duplicate_rules():
@@ -151,6 +151,115 @@ def test_histogram_closes_at_one(spark):
     assert {r.bin: r.n for r in reports.histogram(df, F.col("c")).collect() if r.n} == {0: 1, 9: 2}
 
 
+def test_leaders_of_long_chains(spark):
+    """A path of a thousand items is walked, not decided link by link; rounds give the same."""
+    n = 1000
+    nodes = spark.range(n + 2).select(F.col("id").alias("ord"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.ord: r.leader for r in dedup.leaders(nodes, edges).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} | {n: n, n + 1: n + 1}
+    few = edges.where("a < 9 or a between 100 and 102")
+    assert sorted(dedup.leaders(nodes, few, walked=5).collect()) == sorted(dedup.leaders(nodes, few).collect())
+
+
+def test_rows_without_a_time_are_kept(spark):
+    df = spark.createDataFrame([(1, 10.0), (2, 11.0), (3, None), (4, 99.0), (5, None)], "ord long, t double")
+    got = {r.ord: (r.session_id, r.gap_seconds) for r in dedup.sessions(df, F.col("t"), F.col("ord")).collect()}
+    assert got == {1: (1, None), 2: (1, 1.0), 3: (0, None), 4: (2, 88.0), 5: (0, None)}
+
+
+def test_fresh_and_entries(spark):
+    src = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 5.0)], "path string, mtime double")
+    work = spark.createDataFrame([("a", 5.0), ("b", 4.0), ("b", 3.0)], "path string, mtime double")
+    assert {r.path: r.reusable for r in caches.fresh(src, work).collect()} == {"a": True, "b": False, "c": False}
+    both = caches.cached_then_fresh(spark.createDataFrame([(3,), (1,)], "ord long"), spark.createDataFrame([(2,)], "ord long"))
+    assert [r.ord for r in both.collect()] == [1, 2, 3]
+    scored = spark.createDataFrame([("a", 1), ("b", None)], "path string, vision int")
+    items = spark.createDataFrame([("a", "s1"), ("b", "s2")], "path string, source_sha256 string")
+    assert [tuple(r) for r in caches.vision_entries(scored, items, "m", F.sha2(F.lit("p"), 256)).drop("prompt_sha256").collect()] == [("a.vision.json", "s1", "m", 1)]
+
+
+def test_bench_modes(spark):
+    rows = [("x", 1, 4.0, 0.5, "fine"), ("x", 1, 4.0, 0.7, "Vision scoring failed: no"), ("y", 1, 1.0, 0.2, "ok"), ("y", 2, 3.0, 0.4, "technical-only")]
+    df = spark.createDataFrame(rows, "mode string, run int, duration double, final_score double, line string")
+    got = reports.bench_modes(df).collect()
+    assert [(r.mode, r.runs, r.seconds_an_image, r.mean_failed) for r in got] == [("x", 1, 2.0, 1.0), ("y", 2, 2.0, 0.5)]
+    assert got[0].mean_score == pytest.approx(0.6) and got[1].median_score == pytest.approx(0.3)
+    lines = [r.line for r in reports.bench_markdown(reports.bench_modes(df), "mode").orderBy("line_no").collect()]
+    assert lines[2].startswith("| x | 1 | 2.00 | 30.00 | 4.00") and len(lines) == 4
+
+
+def test_client_limits():
+    """So many in flight, none after failures in a row, waits that double, one less after a rate limit."""
+    import threading
+
+    from lumenrank.sources import scorers
+
+    flying, most, lock, waits = 0, 0, threading.Lock(), []
+
+    def call(item):
+        nonlocal flying, most
+        with lock:
+            flying += 1
+            most = max(most, flying)
+        threading.Event().wait(0.01)
+        with lock:
+            flying -= 1
+        if item["i"] >= 20:
+            raise RuntimeError("503 temporarily unavailable" if item["i"] == 20 else "no")
+        return str(item["i"])
+
+    c = scorers.Client(call, concurrency=3, retries=2, base=1.0, breaker=6, sleep=waits.append)
+    got = c.run([{"i": i} for i in range(60)])
+    assert [g[0] for g in got[:20]] == [str(i) for i in range(20)] and most == c.most_in_flight == 3
+    assert got[20][1].startswith("503") and waits == [1.0, 2.0] and all(g == (None, scorers.BREAKER_OPEN) for g in got[30:])
+    assert sum(g[1] == "no" for g in got) in (5, 6, 7)
+    limit = scorers.AdaptiveLimit()
+    assert [limit.done(True), limit.done(True), limit.done(True)] == [2, 1, 1] and [limit.done(False), limit.done(False)] == [1, 2]
+    adaptive = scorers.Client(lambda item: "x", adaptive=True)
+    assert len(adaptive.run([{"i": i} for i in range(40)])) == 40 and adaptive.limit.now == 8
+
+
+def test_request_bodies(spark):
+    import json
+
+    from lumenrank.sources import scorers
+
+    df = spark.createDataFrame([('qwen3-vl:8b "x"', "QUJD"), ("other", "QUJD")], "model string, payload string")
+    m, p, told = F.col("model"), F.col("payload"), F.lit('say "hi"')
+    rows = df.select(scorers.claude_request(m, p, told, F.lit("a dog")).alias("c"), scorers.ollama_request(m, p, told, F.lit(1024)).alias("o"), scorers.ollama_request(m, p, told, F.lit(1024), compact=True).alias("o2")).collect()
+    c = json.loads(rows[0].c)
+    assert c["model"] == 'qwen3-vl:8b "x"' and c["max_tokens"] == 300 and c["messages"][0]["content"][1]["text"] == 'say "hi" Detected: a dog' and c["messages"][0]["content"][0]["source"]["data"] == "QUJD"
+    strict, free, again = json.loads(rows[0].o), json.loads(rows[1].o), json.loads(rows[1].o2)
+    assert strict["format"] == again["format"] == scorers.SCHEMA and free["format"] == "json"
+    assert strict["options"] == {"temperature": 0, "num_predict": 750} and free["options"]["num_predict"] == 220 and free["stream"] is False
+    assert free["messages"][0]["images"] == ["QUJD"] and 'say "hi"' in free["messages"][0]["content"] and len(again["messages"][0]["content"]) < len(free["messages"][0]["content"])
+
+
+def test_named_settings(tmp_path):
+    from lumenrank.sources import config
+
+    env = {}
+    assert config.api_key([{}, {"ANTHROPIC_API_KEY": " k "}], env) == "k" and env == {"ANTHROPIC_API_KEY": "k"}
+    with pytest.raises(KeyError):
+        config.api_key([{"ANTHROPIC_API_KEY": " "}])
+    assert config.hub_token([{}, {"HUGGINGFACE_HUB_TOKEN": "t"}], env) == "t" and env["HF_TOKEN"] == "t" and config.hub_token([{}]) is None
+    assert [config.claude_model(a, e) for a, e in (("m", {}), (None, {"CLAUDE_MODEL": "c", "ANTHROPIC_MODEL": " "}), (" ", {}))] == ["m", "c", config.CLAUDE_DEFAULT]
+    (tmp_path / "w.pt").write_bytes(b"x")
+    assert config.model_weights("w.pt", {}, str(tmp_path)) == str(tmp_path / "w.pt")
+    with pytest.raises(FileNotFoundError):
+        config.model_weights("v.pt", {"DETECTOR_WEIGHTS": "/nowhere"}, str(tmp_path))
+
+
+def test_unicode_white_space(spark):
+    """No-break and em spaces are white space, as the texts' own language has it."""
+    from lumenrank.functions import text
+
+    df = spark.createDataFrame([("\u00a0 a\u2003b\u00a0\u00a0c.\u2003Next\u00a0",)], "t string")
+    got = df.select(text.one_line(F.col("t"), F.lit("")).alias("a"), text.first_sentence(F.col("t")).alias("b"), text.strip(F.col("t")).alias("c")).first()
+    assert got.a == "a b c. Next" and got.b == "a\u2003b\u00a0\u00a0c." and got.c.startswith("a") and got.c.endswith("Next")
+
+
 def test_breaker(spark):
     df = spark.createDataFrame([(1, i, e) for i, e in enumerate("oeeoeee")], "u int, id long, t string")
     got = [(r.failures_in_row, r.open) for r in reports.breaker(df, "u", [F.col("id")], F.col("t") == "e", 3).orderBy("id").collect()]
@@ -186,6 +295,7 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         main(["nothing", "x"])
     assert e.value.code == 2 and "--rows" in capsys.readouterr().err
+    assert main(["select", str(tmp_path / "none")]) == 1
 
 
 def test_burst_windows_on_a_table_and_a_stream(spark, tmp_path):
@@ -197,11 +307,3 @@ def test_burst_windows_on_a_table_and_a_stream(spark, tmp_path):
     q = stream.burst_windows(source, "key", delay="1 second").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.shots for r in spark.table("bursts").collect()] == [2]
-
-
-def test_online_leaders(spark, tmp_path):
-    spark.createDataFrame([("k", 1, 0), ("k", 2, 1), ("k", 3, 255), ("j", 4, 1)], "key string, ord long, bits long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("key string, ord long, bits long").parquet(str(tmp_path / "in"))
-    q = stream.online_leaders(source, "key", 2).writeStream.format("memory").queryName("leaders").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert {r.ord: r.leader for r in spark.table("leaders").collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
