@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.operators.components import connected_components
-from lumenrank.sources.shared import materialise, remove, shared_path
+from lumenrank.sources.shared import materialise, remove, scratch, shared_path
 
-__all__ = ["connected_components", "materialise", "remove", "shared_path", "split_by_sketch"]
+__all__ = ["connected_components", "materialise", "remove", "scratch", "shared_path", "split_by_sketch"]
 
 #: Longs of a sketch for each key in it, and in all at most: what is broadcast never exceeds 16 bytes a long.
 SKETCH_SHARE, SKETCH_MOST = 0.25, 1 << 20

@@ -59,3 +59,38 @@ def test_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and ids, a long text, a further column: each stage keeps all columns, and what it should."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(40).selectExpr("*", "'x' AS text_sha", "1 AS fp")
+    ids = [r.doc_id for r in some.collect()]
+    odd = [(None, "text without an id here now", None, None, None), (9001, None, None, None, None), (9002, "", "en", None, 0), (9003, "same words in two rows of one id", "en", "s", 1), (9003, "same words in two rows of one id", "en", "s", 1), (9003, "other words under the same id here", "en", "s", 1), (9004, "long " * 100_000 + "mail ann@example.com", "en", "s", 1), (None, None, None, None, None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS text_sha", "1 AS fp")
+    some.unionAll(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    df, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, df, str(tmp_path))
+        assert set(df.columns) <= set(out.columns)
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        df = spark.read.parquet(f"{tmp_path}/stage{k}")
+        seen[name] = sorted(((r.doc_id, r.text) for r in df.collect() if r.doc_id is None or r.doc_id not in ids), key=repr)
+    kept = [x for x in seen["simhash_near_dedup"] if x[0] in (9003, None) and x[1]]
+    assert sorted(kept, key=repr) == sorted([(9003, "same words in two rows of one id"), (9003, "other words under the same id here"), (None, "text without an id here now")], key=repr)
+    assert sum(not x[1] for x in seen["simhash_near_dedup"]) == 1  # null and empty texts are one group
+    assert [x[1].endswith("mail [EMAIL]") for x in seen["pii"] if x[0] == 9004] == [True]
+    assert {x for x in seen["mixing"]} == set(seen["pii"])
+
+
+def test_run_leaves_little_behind(spark):
+    """Of what the stages write only what the last one reads stays."""
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    old = set(os.listdir(root))
+    cp.run(spark, SF)
+    new = {x.split("-")[1] + "-" + x.split("-")[2] for x in set(os.listdir(root)) - old}
+    assert new and all(x.startswith(("mix-", "pipeline-pii")) for x in new), new
