@@ -133,3 +133,8 @@ def breadcrumbs(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     n = F.size(parts)
     return F.transform(parts, lambda p, i: F.struct(p.alias("name"), F.repeat(F.lit("../"), (n - 1 - i).cast("int")).alias("href")))
+
+
+def base64_text(content: Column) -> Column:
+    """Base 64 on one line, whatever the session's setting is."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))

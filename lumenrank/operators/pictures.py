@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Strin
 
 from lumenrank.functions import pixels as px
 from lumenrank.functions.scoring import WEIGHTS
+from lumenrank.functions.text import base64_text
 
 METRICS = (*WEIGHTS, "composite")
 NEEDED = ("height", "width", "channels", "data")
@@ -112,4 +113,4 @@ def payload(df: DataFrame, max_edge: int = 1024) -> DataFrame:
         w, h = px.shrunk_size(a.shape[1], a.shape[0], max_edge)
         return {"file": px.png(px.resampled(a, h, w))}
 
-    return _each(df, [StructField("file", BinaryType())], f).withColumn("payload", F.base64("file")).drop("file")
+    return _each(df, [StructField("file", BinaryType())], f).withColumn("payload", base64_text(F.col("file"))).drop("file")

@@ -124,3 +124,8 @@ def bench_markdown(summary: DataFrame, name: str) -> DataFrame:
     place = F.row_number().over(W.orderBy(F.col("seconds_an_image").asc_nulls_last(), name)).cast("long")
     number = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit(""))
     return head.unionAll(summary.select(place, F.concat(F.lit("| "), F.concat_ws(" | ", text.markdown_cell(F.col(name)), F.col("runs").cast("string"), number("seconds_an_image"), number("images_a_minute"), number("mean_seconds")), F.lit(" |"))))
+
+
+def versions(*names: Column) -> Column:
+    """The output files that there are, in this order."""
+    return F.filter(F.array(*names), lambda x: x.isNotNull() & (x != ""))

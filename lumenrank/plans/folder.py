@@ -136,7 +136,7 @@ def judged(cut: DataFrame, pics: DataFrame, o: Options) -> DataFrame:
     rows = cut.select(F.col("path").alias("p")).join(pics, F.col("p") == F.col("path")).drop("p")
     if o.crop_first:  # the model sees the crop; a picture that cannot be cut is sent whole
         cut_out = pictures.cropped(windows(rows, o.subjects, o.out_w / o.out_h), o.out_w, o.out_h)
-        items = cut_out.select("path", F.base64("image").alias("payload")).where("payload is not null")
+        items = cut_out.select("path", text.base64_text(F.col("image")).alias("payload")).where("payload is not null")
     else:
         items = pictures.payload(rows.select("path", "height", "width", "channels", "data"), o.max_edge).select("path", "payload")
     said = scorers.scored(materialise(items, "payloads"), o.make_call, F.lit(o.model), F.lit(o.account), F.lit(o.max_edge), **o.call_options)

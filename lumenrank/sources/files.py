@@ -37,7 +37,7 @@ def rasters(spark: SparkSession, folder: str) -> DataFrame:
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """(path, payload): content in base 64, as model servers take it. Without an imaging library pictures go as they are."""
-    return pictures(spark, folder, with_content=True).select("path", F.base64("content").alias("payload"))
+    return pictures(spark, folder, with_content=True).select("path", text.base64_text(F.col("content")).alias("payload"))
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
