@@ -1,4 +1,4 @@
-"""Reading model replies: literal rows in every form a reply takes."""
+"""Reading model replies: every turn of the conversations as prose, rubric, JSON or thinking, and literal rows for the odd forms."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenrank.functions import replies as rep
 from lumenrank.functions import text
 from lumenrank.plans import adapters as ad
+from lumenrank.sources.shared import materialise
 
 # (id, content, thinking): our own wording.
 REPLIES = [
@@ -31,8 +32,16 @@ REPLIES = [
 ]
 
 
-def _rows(spark):
-    return spark.createDataFrame(REPLIES, "id int, content string, thinking string")
+def _rows(spark, d):
+    """(id, content, thinking), written once: the parser names its input often."""
+    c, t, kind = F.col("conv_id"), F.col("turn"), (F.col("conv_id") + F.col("turn")) % 4
+    number = lambda k, most: ((c * k + t) % most).cast("string")
+    as_json = F.concat(F.lit('{"subject_clarity": '), number(3, 13), F.lit(', "lighting": '), number(5, 11), F.lit(', "emotion": '), number(7, 11), F.lit(', "total": '), number(11, 70), F.lit(', "one_line": "turn  '), t.cast("string"), F.lit('."}'))
+    rubric = F.concat(F.lit("Subject clarity: "), number(3, 11), F.lit("/10. Lighting - "), number(5, 11), F.lit("/10\nEmotion = "), number(7, 11), F.lit("\n"), F.col("text"))
+    content = F.when(kind == 0, F.col("text")).when(kind == 1, as_json).when(kind == 2, rubric)
+    thinking = F.when(kind == 3, F.concat(F.col("text"), F.lit(" So "), number(2, 11), F.lit("/10.")))
+    told = ad.table(spark, d, "conversations").select((F.lit(1000) + c * 100 + t).cast("long").alias("id"), content.alias("content"), thinking.alias("thinking"))
+    return materialise(spark.createDataFrame(REPLIES, "id long, content string, thinking string").unionAll(told), "replies")
 
 
 def _flat(df, p, *more):
@@ -40,28 +49,28 @@ def _flat(df, p, *more):
 
 
 def reply_json(spark, d):
-    df = _rows(spark).withColumn("raw", rep.json_scores(F.col("content"))).where("raw is not null")
+    df = _rows(spark, d).withColumn("raw", rep.json_scores(F.col("content"))).where("raw is not null")
     return _flat(df, F.col("raw"))
 
 
 def reply_plaintext(spark, d):
-    df = rep.with_rubric(_rows(spark), "content").where("raw is not null")
+    df = rep.with_rubric(_rows(spark, d), "content").where("raw is not null")
     return _flat(df, F.col("raw"))
 
 
 def reply_neutral(spark, d):
-    df = _rows(spark).withColumn("raw", rep.neutral_scores(F.col("content"))).where("raw is not null")
+    df = _rows(spark, d).withColumn("raw", rep.neutral_scores(F.col("content"))).where("raw is not null")
     return _flat(df, F.col("raw"))
 
 
 def reply_normalise(spark, d):
-    df = _rows(spark).withColumn("raw", rep.json_scores(F.col("content"))).where("raw is not null")
+    df = _rows(spark, d).withColumn("raw", rep.json_scores(F.col("content"))).where("raw is not null")
     df = rep.with_payload(df, "raw", "content", "p")
     return _flat(df, F.col("p"), rep.in_range(F.col("p")).alias("valid"))
 
 
 def reply_cascade(spark, d):
-    return _flat(rep.with_parsed(_rows(spark), "content", "thinking"), F.col("payload"), "mode")
+    return _flat(rep.with_parsed(_rows(spark, d), "content", "thinking"), F.col("payload"), "mode")
 
 
 def one_line_sanitise(spark, d):
@@ -103,7 +112,10 @@ def _line_sql(raw: str, fallback: str) -> str:
     return f"coalesce(nullif(left({closed}, 220), ''), 'Vision scoring summary')"
 
 
-_BASE = f"r AS {values(REPLIES, 'id, content, thinking', ['INT', 'VARCHAR', 'VARCHAR'])}"
+_NUMBER = lambda k, most: f"((conv_id * {k} + turn) % {most})"
+_BASE = f"""r AS (SELECT * FROM {values(REPLIES, 'id, content, thinking', ['BIGINT', 'VARCHAR', 'VARCHAR'])} UNION ALL SELECT 1000 + conv_id * 100 + turn, CASE (conv_id + turn) % 4 WHEN 0 THEN text
+  WHEN 1 THEN '{{"subject_clarity": ' || {_NUMBER(3, 13)} || ', "lighting": ' || {_NUMBER(5, 11)} || ', "emotion": ' || {_NUMBER(7, 11)} || ', "total": ' || {_NUMBER(11, 70)} || ', "one_line": "turn  ' || turn || '."}}'
+  WHEN 2 THEN 'Subject clarity: ' || {_NUMBER(3, 11)} || '/10. Lighting - ' || {_NUMBER(5, 11)} || '/10' || chr(10) || 'Emotion = ' || {_NUMBER(7, 11)} || chr(10) || text END, CASE WHEN (conv_id + turn) % 4 = 3 THEN text || ' So ' || {_NUMBER(2, 11)} || '/10.' END FROM conversations)"""
 _TEXTS = f"{_BASE}, t AS (SELECT id, src, ord, {_STRIP('coalesce(txt, chr(32))')} AS txt FROM (SELECT id, 'content' AS src, 1 AS ord, content AS txt FROM r UNION ALL SELECT id, 'thinking', 2, thinking FROM r))"
 _JSON = f"""{_TEXTS}, j0 AS (SELECT *, CASE WHEN starts_with(txt, '```') THEN {_STRIP("CASE WHEN regexp_matches(regexp_extract(txt, '(?s)^```[^\\n]*\\n(.*)$', 1), '```') THEN regexp_extract(regexp_extract(txt, '(?s)^```[^\\n]*\\n(.*)$', 1), '(?s)^(.*)```', 1) ELSE regexp_extract(txt, '(?s)^```[^\\n]*\\n(.*)$', 1) END")} ELSE txt END AS body FROM t),
 j1 AS (SELECT *, coalesce(nullif(regexp_extract(body, '(?s)\\{{.*\\}}', 0), ''), body) AS js FROM j0),
