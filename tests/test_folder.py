@@ -161,7 +161,7 @@ def test_without_a_model_and_dedup_only(spark, shots, tmp_path):
     ranked = sorted(got["scored"].collect(), key=lambda r: (-r.composite, r.ord))
     assert [r.path for r in got["top"].orderBy("rank").collect()] == [r.path for r in ranked[:2]]
     assert all(r.final_score == r.composite for r in ranked)
-    for r in got["bursts"].collect():
+    for r in got["ranked"].collect():
         if len(r.members) > 1:
             best = max(r.members, key=lambda p: px.metrics(of[p.rsplit("/", 1)[-1]][0])["composite"])
             assert r.path == best or r.selected_by == "sharpness"
