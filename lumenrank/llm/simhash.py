@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -18,6 +19,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS, WIDTH = 4, 16
 _LOW = np.uint64((1 << WIDTH) - 1)
 _FLIPS = np.uint64(1) << np.arange(WIDTH, dtype=np.uint64)
+#: A wider radius, for callers that check what they find: of WIDE differing bits at most 2 lie in one of the (first bit, bits) blocks.
+WIDE, WIDE_BLOCKS = 8, ((0, 22), (22, 21), (43, 21))
+#: Runs of up to so many fingerprints are compared pair by pair, larger ones by a search.
+SHORT_RUN = 32
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -37,6 +42,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(bits.view("<u8")[0])
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes: a bit is 1 if set in over half of them; of no hashes zero."""
+    ones, step = np.zeros(64, np.int64), 1 << 15
+    for at in range(0, len(hashes), step):
+        ones += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _tid(text: Column) -> Column:
     """A hash that tells apart different texts under one doc_id."""
     return F.xxhash64(text.cast("string"))
@@ -125,24 +138,24 @@ def _links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by key; holds one batch and the run that may go on. A run has at most 48 * 2**16 rows."""
+def _met(batches: Iterator[pa.RecordBatch], links: Callable[[np.ndarray, np.ndarray], np.ndarray] = _links) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by key; holds one batch and the run that may go on. A run of near_links has at most 48 * 2**16 rows."""
 
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], ["a", "b"])
 
     key, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for b in batches:
-        key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+        key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)])
         fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
         if not len(key):
             continue
         cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
         if cut:
-            yield out(np.ascontiguousarray(_links(key[:cut], fp[:cut])))
+            yield out(np.ascontiguousarray(links(key[:cut], fp[:cut])))
             key, fp = key[cut:], fp[cut:]
     if len(key):
-        yield out(np.ascontiguousarray(_links(key, fp)))
+        yield out(np.ascontiguousarray(links(key, fp)))
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -156,6 +169,66 @@ def near_links(fps: DataFrame) -> DataFrame:
     return spread.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_met, "a long, b long")
 
 
+def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each fingerprint and wide block: the block's value and all its one-bit variants, the block's number above them."""
+    for b in batches:
+        every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(every), 2048):
+            fp = every[at : at + 2048]
+            keys = []
+            for block, (low, bits) in enumerate(WIDE_BLOCKS):
+                value = ((fp >> np.uint64(low)) & np.uint64((1 << bits) - 1) | np.uint64(block << 22)).astype(np.int32)[:, None]
+                keys += [value, value ^ (np.int32(1) << np.arange(bits, dtype=np.int32))[None, :]]
+            key = np.concatenate(keys, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp, key.shape[1]).view(np.int64))], ["key", "fp"])
+
+
+def _wide_run(fp: np.ndarray) -> np.ndarray:
+    """Trees over the components of one run under WIDE bits. A fingerprint is compared only with those not reached yet, so a dense run of n costs about n comparisons."""
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    left = fp
+    while len(left):
+        found, left = [left[:1]], left[1:]
+        for some in found:  # grows meanwhile
+            for x in some:
+                hit = np.bitwise_count(left ^ x) <= WIDE
+                if hit.any():
+                    found.append(left[hit])
+                    a.append(np.full(len(found[-1]), x))
+                    b.append(found[-1])
+                    left = left[~hit]
+                if not len(left):
+                    break
+    return np.stack([np.concatenate(a), np.concatenate(b)])
+
+
+def _wide_links(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Links at WIDE bits or fewer among rows sorted by key, whole runs of equal keys only; they hold each run's components together."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[start, len(key)])
+    after = np.repeat(start + n, n) - np.arange(len(key)) - 1  # rows of the run that follow
+    out = [np.zeros((2, 0), np.uint64)]
+    here, d = np.flatnonzero(np.repeat(n <= SHORT_RUN, n)), 1
+    while len(here := here[after[here] >= d]):
+        near = here[np.bitwise_count(fp[here] ^ fp[here + d]) <= WIDE]
+        out.append(np.stack([fp[near], fp[near + d]]))
+        d += 1
+    out += [_wide_run(fp[s : s + k]) for s, k in zip(start[n > SHORT_RUN], n[n > SHORT_RUN], strict=True)]
+    pairs = np.concatenate(out, axis=1)
+    return np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) whose components are those of all pairs at WIDE bits or fewer.
+
+    Ball hashing as in near_links, at a wider radius: two fingerprints within 8 bits differ in at most 2 bits of one of
+    the three blocks, where their balls of radius 1 meet. 67 keys a fingerprint; no pair is lost. Keys of 21 bits bring
+    together more that lies apart, N / 100,000 or so a key of N fingerprints, which the whole fingerprint then rules out.
+    """
+    spread = fps.select("fp").mapInArrow(_wide_variants, "key int, fp long")
+    return spread.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_met, links=_wide_links), "a long, b long")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tid, fp, component_id, grp) for every row of docs: component_id is the least doc_id reachable over links of RADIUS bits or fewer.
 

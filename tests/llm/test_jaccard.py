@@ -113,3 +113,59 @@ def test_sketches_bound_the_difference():
         for j, d in enumerate(k.apart(i, ja.np.arange(len(sets)))):
             assert d <= len(ja.np.setxor1d(a, sets[j]))
     assert k.apart(6, ja.np.array([7]))[0] * 9 > (len(sets[6]) + len(sets[7]))
+
+
+def plain_simhash(s):
+    h = [ja.xxh64_intdigest(b" ".join(g), 42) for g in s]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+def test_stage_links_by_simhash_balls(spark, docs_of, monkeypatch):
+    """Without the prefix filter the stage still unites every pair within 8 bits of 5-word SimHash, and no pair below 0.8."""
+    texts = texts_around_the_limit()
+    sets = [plain_set(t) for t in texts]
+    sims = [plain_simhash(s) for s in sets]
+    want = plain_components(dict(enumerate(texts)))
+    monkeypatch.setattr(ja, "_met", lambda batches: iter(()))
+    got = {r.doc_id: (r.fp, r.component_id) for r in ja.jaccard_components(docs_of(texts)).collect()}
+    near = [(i, j) for i, x in enumerate(sets) for j in range(i) if (y := sets[j]) != x and 5 * len(x & y) >= 4 * len(x | y) and (sims[i] ^ sims[j]).bit_count() <= 8]
+    assert len(near) > 60
+    assert all(got[i][1] == got[j][1] for i, j in near)
+    assert all(want[i] == want[c] for i, (_, c) in got.items())
+    kept = {r.doc_id for r in dict(cp.STAGES)["simhash_near_dedup"](spark, docs_of(texts), "").collect()}
+    assert kept == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_wide_links_lose_no_pair(spark):
+    """All distances from 0 on around few centres, one dense ball and runs of both lengths: components as of all pairs."""
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(4):
+        c = rng.getrandbits(64)
+        fps |= {c ^ sum(1 << b for b in rng.sample(range(64), d)) for d in (*range(1, 14), 8, 9) * 4}
+        fps |= {c ^ (255 << s) for s in (0, 14, 18, 20, 40, 56)}
+        fps |= {c ^ (7 << 0 | 7 << 22 | 3 << 43), c ^ (3 << 20 | 7 << 41 | 7 << 61)}
+    fps = sorted(fps)
+    signed = [v - (1 << 64) if v >> 63 else v for v in fps]
+    links = sh.wide_links(spark.createDataFrame([(v,) for v in signed], "fp long"))
+    root = {v: v for v in fps}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    comp = {r.node: r.component for r in sh.connected_components(links).collect()}
+    mask = 2**64 - 1
+    assert all(((r.a ^ r.b) & mask).bit_count() <= 8 for r in links.collect())
+    groups, wanted = {}, {}
+    for v, s in zip(fps, signed, strict=True):
+        groups.setdefault(comp.get(s, s), set()).add(v)
+        wanted.setdefault(find(v), set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+    assert 4 < len(wanted) < len(fps)
