@@ -31,3 +31,13 @@ def test_correlation_of_all_rows(spark, tmp_path, monkeypatch):
     got = [tuple(x) for x in grouping.vector_correlation_pairs(spark, str(tmp_path)).select("a", "b", "r").collect()]
     assert len(got) == len(want) > 1000
     assert set(got) == want
+
+
+def test_correlation_shuffles_each_row_once(spark, tmp_path, monkeypatch):
+    """However many parts: rows that meet in tiles are read from files, not dealt to every tile."""
+    monkeypatch.setattr(dedup, "PART", 25)
+    rows = spark.range(500).select((F.col("id") * 3).alias("id"), F.expr("transform(sequence(1, 16), i -> sin(id * i))").alias("v"))
+    pairs = dedup.correlated_pairs(rows, "id", "v", 0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan
+    assert pairs.select("a", "b").distinct().count() == pairs.count() > 500
