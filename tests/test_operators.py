@@ -307,3 +307,25 @@ def test_burst_windows_on_a_table_and_a_stream(spark, tmp_path):
     q = stream.burst_windows(source, "key", delay="1 second").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.shots for r in spark.table("bursts").collect()] == [2]
+
+
+def hashed(n, words, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64 * words) for _ in range(n // 5)]
+    full = [rng.choice(base) ^ sum({1 << rng.randrange(64 * words) for _ in range(rng.randrange(18 * words))}) for _ in range(n)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return full, [(i, [signed(h >> (64 * w) & (2**64 - 1)) for w in range(words)]) for i, h in enumerate(full)] + [(n, None)]
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_pairs_of_narrow_bands_meet_in_tiles(spark, monkeypatch, words):
+    """Bands of 3 bits would join most pairs: nothing is joined by hash, no pair is lost, whatever the parts."""
+    monkeypatch.setattr(dedup, "PART", 70)
+    monkeypatch.setattr(dedup, "ROWS", 16)
+    full, rows = hashed(300, words, 4)
+    df = dedup.hamming_pairs(spark.createDataFrame(rows, "id long, words array<long>"), "id", "words", words, 20 * words)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan and "HashAggregate" not in plan
+    got = {(r.a, r.b): r.distance for r in df.collect()}
+    want = {(i, j): (full[i] ^ full[j]).bit_count() for j in range(300) for i in range(j) if (full[i] ^ full[j]).bit_count() <= 20 * words}
+    assert got == want and want
