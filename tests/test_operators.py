@@ -329,3 +329,20 @@ def test_pairs_of_narrow_bands_meet_in_tiles(spark, monkeypatch, words):
     got = {(r.a, r.b): r.distance for r in df.collect()}
     want = {(i, j): (full[i] ^ full[j]).bit_count() for j in range(300) for i in range(j) if (full[i] ^ full[j]).bit_count() <= 20 * words}
     assert got == want and want
+
+
+@pytest.mark.parametrize("leading", [1000, 300, 25])
+def test_leaders_of_hashes_are_those_of_all_pairs(spark, monkeypatch, leading):
+    """One round, one that is just full, and several: no pair is listed, the leaders are those of a walk over all pairs."""
+    monkeypatch.setattr(dedup, "LEADING", leading)
+    monkeypatch.setattr(dedup, "PART", 7)
+    monkeypatch.setattr(dedup, "ROWS", 16)
+    full, rows = hashed(300, 1, 6)
+    got = {r.ord: r.leader for r in dedup.hash_leaders(spark.createDataFrame(rows, "id long, words array<long>"), "id", "words", 1, 20).collect()}
+    near = [(i, j) for j in range(300) for i in range(j) if (full[i] ^ full[j]).bit_count() <= 20]
+    assert got == walk(300, near) | {300: 300}
+    assert len(set(got.values())) > 50
+
+
+def test_leaders_of_no_hashes(spark):
+    assert dedup.hash_leaders(spark.createDataFrame([], "id long, words array<long>"), "id", "words", 1, 20).count() == 0
