@@ -41,3 +41,14 @@ def test_correlation_shuffles_each_row_once(spark, tmp_path, monkeypatch):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "FlatMapGroups" not in plan
     assert pairs.select("a", "b").distinct().count() == pairs.count() > 500
+
+
+def test_lookup_of_a_long_burst_is_shared_out(spark, tmp_path, monkeypatch):
+    """A burst's rows come from several tasks, each with all names; events alone and without a time are there too."""
+    monkeypatch.setattr(grouping, "LOOKUP_BYTES", 20_000, raising=False)
+    events = spark.range(403).select(F.col("id").alias("event_id"), F.when(F.col("id") < 402, F.expr("timestamp_micros(id * 1000000 + if(id > 400, 100000000, 0))")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).cast("double").alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = grouping.burst_lookup(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    names = ",".join(map(str, range(401)))
+    assert {r.event_id: (r.representative, r.burst_size, r.members) for r in got} == {i: (6, 401, names) for i in range(401)} | {401: (None, None, None), 402: (None, None, None)}
+    assert len(got) == 403 and len({r.task for r in got if r.burst_size}) > 1
