@@ -72,7 +72,8 @@ def crop_choice(spark, d):
 
 def crop_uncertainty(spark, d):
     df = crop.doubts(_windows(spark, d))
-    return df.select("image", "gap_px_threshold", "min_gap_px", F.bround("min_gap_ratio", 6).alias("min_gap_ratio"), "uncertain", F.array_join("reasons", ",").alias("reasons"))
+    ratio = F.rint(F.col("min_gap_ratio") * 1e6) / 1e6  # as the SQL rounds: of the number itself, not of its shortest decimals
+    return df.select("image", "gap_px_threshold", "min_gap_px", ratio.alias("min_gap_ratio"), "uncertain", F.array_join("reasons", ",").alias("reasons"))
 
 
 QUERIES = {f.__name__: f for f in (subject_pick, subject_merge, subject_words, shot_type_targets, expand_box, subject_fallback, crop_candidates, crop_choice, crop_uncertainty)}

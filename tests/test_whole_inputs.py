@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenrank.operators import dedup
-from lumenrank.plans import grouping, reporting
+from lumenrank.plans import grouping, reporting, subjects
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +52,11 @@ def test_lookup_of_a_long_burst_is_shared_out(spark, tmp_path, monkeypatch):
     names = ",".join(map(str, range(401)))
     assert {r.event_id: (r.representative, r.burst_size, r.members) for r in got} == {i: (6, 401, names) for i in range(401)} | {401: (None, None, None), 402: (None, None, None)}
     assert len(got) == 403 and len({r.task for r in got if r.burst_size}) > 1
+
+
+def test_gap_ratio_rounds_as_the_sql(spark, tmp_path):
+    """161 / 640 is 0.2515625 in its shortest decimals, and a little more in fact."""
+    rows = [(24011, 4200, 646, 7, 25.0, 76037.41, 0.03)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.min_gap_ratio for r in subjects.crop_uncertainty(spark, str(tmp_path)).collect()] == [0.251563]
